@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from weft.llm import bpe
+from weft.llm import bpe, quality, substring
 from weft.llm.common import documents
 
 #: The public vocabularies that the queries use.
@@ -19,9 +20,39 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.decode(coded, BPE_RANKS))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring.remove_repeats(documents(spark, sf_dir))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP6_SQL = """
+with words as (
+  select doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as w from documents
+), windows as (
+  select doc_id, i, md5(array_to_string(list_slice(w, i, i + 49), ' ')) as win
+  from (select doc_id, w, unnest(range(1, len(w) - 48)) as i from words where len(w) >= 50)
+), firsts as (
+  select win, min(doc_id) as first_doc from windows group by win
+), gone as (
+  select distinct doc_id, unnest(range(i, i + 50)) as i
+  from windows join firsts using (win) where first_doc < doc_id
+), kept as (
+  select doc_id, string_agg(word, ' ' order by i) as kept
+  from (select doc_id, unnest(w) as word, unnest(range(1, len(w) + 1)) as i from words) anti join gone using (doc_id, i)
+  group by doc_id
+), removed as (select doc_id, count(*) as n from gone group by doc_id)
+select doc_id, len(w)::bigint as n_words, coalesce(n, 0)::bigint as n_removed, sha256(coalesce(kept, '')) as kept_sha256
+from words left join removed using (doc_id) left join kept using (doc_id)
+"""
+
+
+def op9_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(documents(spark, sf_dir), BPE_RANKS, public_tokenizers.PATTERN)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_substring_dedup": OP6_SQL}
