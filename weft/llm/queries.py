@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm import bpe, quality, substring
+from weft.llm import bpe, licenses, quality, substring
 from weft.llm.common import documents
 
 #: The public vocabularies that the queries use.
@@ -46,6 +46,11 @@ from words left join removed using (doc_id) left join kept using (doc_id)
 """
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = licenses.scan(documents(spark, sf_dir))
+    return out.withColumns({c: F.array_join(c, ",") for c in ("base_labels", "labels")})
+
+
 def op9_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(documents(spark, sf_dir), BPE_RANKS, public_tokenizers.PATTERN)
 
