@@ -5,16 +5,28 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm import bpe, licenses, quality, substring
+from weft.llm import bpe, licenses, pii, quality, substring
 from weft.llm.common import documents
 
 #: The public vocabularies that the queries use.
 BPE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
+def _is(value: str) -> Callable[[Column], Column]:
+    return lambda x: x == value
+
+
+def op1_pii_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.find(documents(spark, sf_dir))
+    base = F.filter("spans", lambda s: s["base"])
+    kinds = F.transform(base, lambda s: s["kind"])
+    count = [F.size(F.filter(kinds, _is(k))).cast("long").alias(f"n_{k}") for k in pii.BASE]
+    return out.select("doc_id", *count, F.sha2(pii.joined(base), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.encode(documents(spark, sf_dir), BPE_RANKS, public_tokenizers.PATTERN)
     return bpe.digests(bpe.decode(coded, BPE_RANKS))
