@@ -28,7 +28,7 @@ def powers(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of an odd base modulo 2**64 and of its inverse."""
     have = _powers.get(int(base))
     if have is None or len(have[0]) < n:
-        size = 1 << max(16, int(n).bit_length())
+        size = max(1 << 16, n + n // 8)
         inverse = U(pow(int(base), -1, 1 << 64))
         tables = []
         for b in (base, inverse):
@@ -63,7 +63,7 @@ class Words:
     def row_of(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
-    def hashes(self, block: int = 1 << 20) -> np.ndarray:
+    def hashes(self, block: int = 1 << 18) -> np.ndarray:
         """A 64-bit hash of each word."""
         out = np.empty(len(self.starts), U)
         at = 0
@@ -116,7 +116,7 @@ def cut(texts: pa.Array, fold: bool = False) -> Words:
     return Words(data, rows, starts, ends, np.searchsorted(starts, rows))
 
 
-def pieces(texts: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def pieces(texts: pa.Array, most: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Row ranges of about `most` bytes (one row at least), so that memory
     follows the longest text and not the size of an Arrow batch."""
     import pyarrow.compute as pc
