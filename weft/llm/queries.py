@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm import bpe, licenses, pii, quality, shards, substring
+from weft.llm import bpe, jaccard, licenses, pii, quality, shards, substring
 from weft.llm.common import documents
 
 #: The public vocabularies that the queries use.
@@ -27,6 +27,10 @@ def op1_pii_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *count, F.sha2(pii.joined(base), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(documents(spark, sf_dir))
+
+
 def op4_kd_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     dims = {"n_chars": shards.log_scale(F.col("n_chars")), "lang": shards.category(F.col("lang"))}
     out = shards.shards(documents(spark, sf_dir), dims, leaves=8)
