@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm import bpe, jaccard, licenses, pii, quality, shards, substring
+from weft.llm import bpe, decontaminate, jaccard, licenses, pii, quality, shards, substring
 from weft.llm.common import documents
 
 #: The public vocabularies that the queries use.
@@ -77,6 +77,15 @@ def op9_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(documents(spark, sf_dir), BPE_RANKS, public_tokenizers.PATTERN)
 
 
+def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    found = decontaminate.find(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    out = decontaminate.by_document(docs, found)
+    spans = F.transform("hits", lambda h: F.concat_ws(":", h["item_id"].cast("string"), h["start"].cast("string"), h["end"].cast("string"), h["edits"].cast("string")))
+    items = F.array_distinct(F.transform("hits", lambda h: h["item_id"]))
+    return out.select("doc_id", "contaminated", F.size(items).cast("long").alias("n_items"), F.array_join(items.cast("array<string>"), ",").alias("items"), F.array_join(spans, ",").alias("spans"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
