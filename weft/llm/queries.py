@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm import bpe, decontaminate, jaccard, licenses, pii, quality, shards, substring
-from weft.llm.common import documents
+from weft.llm import bpe, decontaminate, jaccard, licenses, pii, quality, shards, substring, toxicity
+from weft.llm.common import documents, id_crc
 
 #: The public vocabularies that the queries use.
 BPE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -27,6 +27,14 @@ def op1_pii_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *count, F.sha2(pii.joined(base), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
 
 
+def op2_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = toxicity.learn(docs, toxicity.training(spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    out = toxicity.score(docs, model)
+    predicted = F.when(F.col("score") >= 0.5, 1).otherwise(0)
+    return out.select("doc_id", (id_crc(F.col("doc_id")) % 5 == 0).alias("held_out"), "score", predicted.alias("predicted"), "evidence", F.size("passages").alias("n_passages"))
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(documents(spark, sf_dir))
 
