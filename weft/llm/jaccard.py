@@ -13,7 +13,7 @@ n-grams that must all agree, so common passages alone bring no sets together.
    vertical fragments apart and summed per pair.
 3. Two members of a hub that don't both link to it may still link to each other.
    Their differences from the hub must then overlap, and that join has a prefix
-   filter (what a member has beyond the hub comes first), so a large group of
+   filter (differences that few members share come first), so a large group of
    near copies never becomes all of its pairs.  What remains is counted as in 2.
 4. Links become connected components.
 
@@ -172,16 +172,25 @@ def links(df: DataFrame, percent: int = 90, width: int = 3, id_col: str = "doc_i
 
     open_hubs = star.groupBy("b").agg(F.count("*").alias("members"), F.max((~F.col("linked")).cast("int")).alias("some")).where("members > 1 and some = 1").select("b")
     members = star.join(_few(written(open_hubs)), "b", "left_semi")
+    # What few members of the hub have beyond it comes first.
+    each = members.select("a", "b", "na", "size", "linked", "small", "large", F.explode("beyond").alias("x"))
+    often = each.groupBy("b", "x").agg(F.count("*").alias("often"))
+    ordered = written(each.join(often, ["b", "x"]).groupBy("a", "b", "na", "size", "linked", "small", "large").agg(F.array_sort(F.collect_list(F.struct("often", "x"))).alias("beyond")))
 
     def side(prefix: str, name: str) -> DataFrame:
-        return members.select("b", F.explode(F.slice("beyond", F.lit(1), F.col(prefix))).alias("x"), *[F.col(c).alias(f"{name}_{c}") for c in ("a", "na", "size", "linked")])
+        first = F.posexplode(F.slice("beyond", F.lit(1), F.col(prefix))).alias(f"{name}_at", "e")
+        rows = ordered.select("b", first, *[F.col(c).alias(f"{name}_{c}") for c in ("a", "na", "size", "linked")])
+        return rows.where("e.often > 1").withColumn("x", F.col("e.x")).drop("e")
 
     meets = F.expr(
         f"(s_size < l_size or (s_size = l_size and s_a < l_a)) and not (s_linked and l_linked) "
         f"and {percent} * greatest(s_na, l_na) <= 100 * least(s_na, l_na) and l_size - s_size <= {share} * (s_na + l_na)"
     )
-    more = side("small", "s").join(side("large", "l"), ["b", "x"]).where(meets).select(F.least("s_a", "l_a").alias("a"), F.greatest("s_a", "l_a").alias("b")).distinct()
-    second = _overlaps(written(more), tokens, False).where(linked("na", "nb", "shared"))
+    met = side("small", "s").join(side("large", "l"), ["b", "x"]).where(meets).groupBy("b", "s_a", "l_a", "s_na", "l_na", "s_size", "l_size").agg(F.count("*").alias("met"), F.max("s_at").alias("s_at"), F.max("l_at").alias("l_at"))
+    # Past the last element met, no more can be shared than the shorter rest has.
+    enough = F.expr(f"met + least(s_size - s_at, l_size - l_at) - 1 >= (s_size + l_size - {share} * (s_na + l_na)) / 2")
+    more = met.where(enough).select(F.least("s_a", "l_a").alias("a"), F.greatest("s_a", "l_a").alias("b")).distinct()
+    second = _overlaps(written(more.join(stars, ["a", "b"], "left_anti")), tokens, False).where(linked("na", "nb", "shared"))
     found = written(star.where("linked").select("a", "b").union(second.select("a", "b")).distinct())
     named = classes.select("c1", "c2", "rep").join(components(found).withColumnRenamed("id", "rep"), "rep", "left")
     named = named.select("c1", "c2", F.coalesce("component", "rep").alias("component"))
