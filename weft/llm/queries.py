@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm import bpe, decontaminate, jaccard, licenses, pii, quality, shards, substring, toxicity
+from weft.llm import bpe, decontaminate, jaccard, licenses, pii, quality, shards, substring, suffix_tree, toxicity
 from weft.llm.common import documents, id_crc
 
 #: The public vocabularies that the queries use.
@@ -76,6 +76,13 @@ from words left join removed using (doc_id) left join kept using (doc_id)
 """
 
 
+def op7_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held_out = id_crc(F.col("doc_id")) % 7 == 2
+    out = suffix_tree.score(docs, ~held_out)
+    return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_symbols")
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = licenses.scan(documents(spark, sf_dir))
     return out.withColumns({c: F.array_join(c, ",") for c in ("base_labels", "labels")})
