@@ -165,14 +165,15 @@ def learn(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     picked = rows.join(F.broadcast(chosen), "__id").select("text", "y", "half").dropDuplicates(["text"])
 
     def count(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        seen: dict[tuple[int, int], Counter] = {}
-        for text, y, half in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            words = set(tokens_of(text))
-            own = words | {stem(w) for w in words if len(w) > STEM} | {""}  # "" counts the texts
-            seen.setdefault((y, half), Counter()).update(own)
-        for (y, half), c in seen.items():
-            n = len(c)
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array([y] * n, pa.int32()), pa.array([half] * n, pa.int32()), pa.array(list(c.values()), pa.int64())], ["token", "y", "half", "n"])
+        for a, b in pieces(batch.column(0)):
+            seen: dict[tuple[int, int], Counter] = {}
+            for text, y, half in zip(*(c.slice(a, b - a).to_pylist() for c in batch.columns), strict=True):
+                words = set(tokens_of(text))
+                own = words | {stem(w) for w in words if len(w) > STEM} | {""}  # "" counts the texts
+                seen.setdefault((y, half), Counter()).update(own)
+            for (y, half), c in seen.items():
+                n = len(c)
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array([y] * n, pa.int32()), pa.array([half] * n, pa.int32()), pa.array(list(c.values()), pa.int64())], ["token", "y", "half", "n"])
 
     counted = map_arrow(picked, count, "token string, y int, half int, n bigint").where("half = 0").groupBy("token").agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("y1"), F.sum(F.when(F.col("y") == 1, 0).otherwise(F.col("n"))).alias("y0"))
     got = counted.where(f"y1 + y0 >= {least} or token = ''").collect()
@@ -183,14 +184,15 @@ def learn(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     held = df.sparkSession.sparkContext.broadcast(m)
 
     def calibrate(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        out = []
-        for text, y, half in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if half == 1:
-                words = tokens_of(text)
-                at, scores = scored(words, held.value.lexicon)
-                out.append((y, len(words), sorted((s for *_, s in maximal(at, scores, cost)), reverse=True), scores))
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64())), strict=True)], ["y", "n", "segments", "scores"])
+        for a, b in pieces(batch.column(0)):
+            out = []
+            for text, y, half in zip(*(c.slice(a, b - a).to_pylist() for c in batch.columns), strict=True):
+                if half == 1:
+                    words = tokens_of(text)
+                    at, scores = scored(words, held.value.lexicon)
+                    out.append((y, len(words), sorted((s for *_, s in maximal(at, scores, cost)), reverse=True), scores))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64())), strict=True)], ["y", "n", "segments", "scores"])
 
     seen = map_arrow(picked, calibrate, "y int, n bigint, segments array<double>, scores array<double>").collect()
     clean = [r for r in seen if r["y"] != 1]
@@ -208,6 +210,15 @@ def learn(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return m
 
 
+def probability(text: str | None, m: Model) -> tuple[float, float, list[tuple[tuple[int, int, float], float]]]:
+    """(probability, evidence, significant segments with their own evidence)."""
+    words = tokens_of(text)
+    segments = maximal(*scored(words, m.lexicon), m.cost)
+    facts = [(s, x) for s, x in zip(segments, evidence(segments, len(words), m), strict=True) if x > 0]
+    total = sum(x for _, x in facts)
+    return 1 / (1 + math.exp(-max(-30.0, min(30.0, m.bias + m.slope * total)))), total, facts
+
+
 def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of df: (id_col, score, evidence, passages array<struct<
     first_token, end_token: bigint, expected: double>>): the passages expected
@@ -217,25 +228,34 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
 
     def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         m = held.value
-        lexicon = m.lexicon
         for a, b in pieces(batch.column(1)):
-            probability, sums, passages = [], [], []
+            scores, sums, passages = [], [], []
             for text in batch.column(1).slice(a, b - a).to_pylist():
-                words = tokens_of(text)
-                segments = maximal(*scored(words, lexicon), m.cost)
-                facts = [(s, x) for s, x in zip(segments, evidence(segments, len(words), m), strict=True) if x > 0]
-                total = sum(x for _, x in facts)
+                p, total, facts = probability(text, m)
+                scores.append(p)
                 sums.append(total)
-                probability.append(1 / (1 + math.exp(-max(-30.0, min(30.0, m.bias + m.slope * total)))))
                 passages.append([{"first_token": s[0], "end_token": s[1], "expected": math.exp(-x)} for s, x in facts])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(a, b - a), pa.array(probability, pa.float64()), pa.array(sums, pa.float64()), pa.array(passages, pa.list_(pa.struct([("first_token", pa.int64()), ("end_token", pa.int64()), ("expected", pa.float64())])))],
+                [batch.column(0).slice(a, b - a), pa.array(scores, pa.float64()), pa.array(sums, pa.float64()), pa.array(passages, pa.list_(pa.struct([("first_token", pa.int64()), ("end_token", pa.int64()), ("expected", pa.float64())])))],
                 [id_col, "score", "evidence", "passages"],
             )
 
     return map_arrow(df.select(id_col, text_col), each, f"`{id_col}` {kind}, score double, evidence double, passages array<struct<first_token: bigint, end_token: bigint, expected: double>>")
 
 
+def keep(df: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows of df, all columns, whose text scores below threshold."""
+    held = df.sparkSession.sparkContext.broadcast(model)
+    at = df.columns.index(text_col)
+
+    def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for a, b in pieces(batch.column(at)):
+            part = batch.slice(a, b - a)
+            yield part.filter(pa.array([probability(t, held.value)[0] < threshold for t in part.column(at).to_pylist()], pa.bool_()))
+
+    return map_arrow(df, each, df.schema)
+
+
 def training(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The labelled rows that may be learnt from: crc32 of the id mod 5 is not 0."""
     return labels.where(id_crc(F.col(id_col)) % 5 != 0)
