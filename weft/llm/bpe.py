@@ -30,7 +30,7 @@ from weft.llm.common import lists, map_arrow
 from weft.llm.words import pieces as row_ranges
 
 #: Pieces that one Python worker remembers; beyond it, memory starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 
 
 def byte_table() -> list[str]:
@@ -79,10 +79,10 @@ class Pieces(dict):
         self.exact = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.corrected = 0
 
-    def learn(self, new: set[str]) -> None:
-        if len(self) + len(new) > REMEMBERED:
+    def learn(self, own: set[str]) -> None:
+        if len(self) + len(own) > REMEMBERED:
             self.clear()
-        order = list(new)
+        order = [p for p in own if p not in self]
         for piece, got in zip(order, self.tokenizer.encode_batch(order, add_special_tokens=False), strict=True):
             ids = got.ids
             if len(ids) > 1 and ids != (right := self.exact._encode_single_piece(piece)):
@@ -90,13 +90,15 @@ class Pieces(dict):
             self[piece] = np.array(ids, np.int32).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self.split(t) for t in texts]
-        new = {p for ps in cut for p in ps if p not in self}
-        if len(self) + len(new) > REMEMBERED:
-            new = {p for ps in cut for p in ps}
-        if new:
-            self.learn(new)
-        return [b"".join([self[p] for p in ps]) for ps in cut]
+        out = []
+        for text in texts:
+            own = self.split(text)
+            try:
+                out.append(b"".join(map(self.__getitem__, own)))
+            except KeyError:
+                self.learn(set(own))
+                out.append(b"".join(map(self.__getitem__, own)))
+        return out
 
 
 @functools.lru_cache(maxsize=2)
@@ -105,13 +107,27 @@ def pieces_of(data: bytes, pattern: str) -> Pieces:
 
 
 @functools.lru_cache(maxsize=2)
-def token_bytes(data: bytes) -> list[bytes]:
-    """Each id's bytes; what the ranks skip is None."""
+def token_bytes(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(all tokens' bytes, each id's first byte there, its length or -1 for ids
+    that the ranks skip)."""
     ranks = read_ranks(data)
-    out: list = [None] * (max(ranks.values()) + 1)
-    for token, rank in ranks.items():
-        out[rank] = token
-    return out
+    order = sorted(ranks, key=ranks.get)
+    first, length = np.zeros(ranks[order[-1]] + 1, np.int64), np.full(ranks[order[-1]] + 1, -1, np.int64)
+    at = 0
+    for token in order:
+        first[ranks[token]], length[ranks[token]] = at, len(token)
+        at += len(token)
+    return np.frombuffer(b"".join(order), np.uint8), first, length
+
+
+def gather(ids: np.ndarray, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(the bytes of ids, one after another; where each id's bytes end)."""
+    blob, first, length = token_bytes(data)
+    if len(ids) and (ids.min() < 0 or ids.max() >= len(length) or length[ids].min() < 0):
+        raise ValueError("an id is not in the vocabulary")
+    n = length[ids]
+    ends = np.cumsum(n)
+    return blob[np.repeat(first[ids] - (ends - n), n) + np.arange(n.sum())], ends
 
 
 def char_spans(text: str, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -123,9 +139,9 @@ def char_spans(text: str, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.maximum(begins[np.minimum(ends - lengths + 1, len(raw))] - 1, 0), begins[ends]
 
 
-def encode(df: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", offsets: bool = False) -> DataFrame:
-    """(id_col, ids array<int>), one row per row of df; with offsets also
-    starts and ends array<int>, in characters of the text.
+def encode(df: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", offsets: bool = False, extra: tuple[str, ...] = ()) -> DataFrame:
+    """(id_col, extra columns, ids array<int>), one row per row of df; with
+    offsets also starts and ends array<int>, in characters of the text.
 
     vocabulary is a file of base64 tokens and ranks on the driver's machine; its
     bytes go to the executors (about 1 MB, whatever the input)."""
@@ -139,36 +155,40 @@ def encode(df: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id",
             coded = known.encode(texts)
             flat = np.frombuffer(b"".join(coded), np.int32)
             bounds = np.concatenate(([0], np.cumsum([len(c) // 4 for c in coded])))
-            columns = [batch.column(0).slice(a, b - a), lists(pa.array(flat), bounds)]
+            columns = [batch.column(0).slice(a, b - a), *[c.slice(a, b - a) for c in batch.columns[2:]], lists(pa.array(flat), bounds)]
             if offsets:
-                width = np.array([len(t or b"") for t in token_bytes(held.value)], np.int64)
+                width = token_bytes(held.value)[2]
                 spans = [char_spans(t, width[flat[s:e]]) for t, s, e in zip(texts, bounds, bounds[1:], strict=False)]
                 columns += [lists(pa.array(np.concatenate([x[k] for x in spans]).astype(np.int32)), bounds) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    names = [id_col, "ids", *(["starts", "ends"] if offsets else [])]
-    kind = df.schema[id_col].dataType.simpleString()
-    schema = f"`{id_col}` {kind}, ids array<int>" + (", starts array<int>, ends array<int>" if offsets else "")
-    return map_arrow(df.select(id_col, text_col), each, schema)
+    names = [id_col, *extra, "ids", *(["starts", "ends"] if offsets else [])]
+    schema = _columns(df, id_col, *extra) + ", ids array<int>" + (", starts array<int>, ends array<int>" if offsets else "")
+    return map_arrow(df.select(id_col, text_col, *extra), each, schema)
+
+
+def _columns(df: DataFrame, *names: str) -> str:
+    return ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in names)
 
 
-def decode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """(id_col, ids, decoded binary): the bytes of each row's ids.  Characters
-    that tokens split come together again because bytes are joined before
-    anything reads them as text; a null list decodes as empty."""
+def decode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_col: str = "ids", extra: tuple[str, ...] = ()) -> DataFrame:
+    """(id_col, extra columns, ids, decoded binary): the bytes of each row's ids.
+    Characters that tokens split come together again because bytes are joined
+    before anything reads them as text; a null list decodes as empty."""
     held = df.sparkSession.sparkContext.broadcast(Path(vocabulary).read_bytes())
 
     def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        table = token_bytes(held.value)
         whole = batch.column(1)
-        step = max(1, 1_000_000 // max(1, len(whole.flatten()) // len(whole)))
+        step = max(1, len(whole) * 250_000 // max(1, len(whole.flatten())))
         for a in range(0, len(whole), step):
             part = whole.slice(a, step)
-            out = [b"".join([table[i] for i in ids]) if ids else b"" for ids in part.to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, step), part, pa.array(out, pa.binary())], [id_col, ids_col, "decoded"])
+            sizes = np.array([0, *[len(x) if x.is_valid else 0 for x in part]])
+            raw, ends = gather(part.flatten().to_numpy(), held.value)
+            bounds = np.concatenate(([0], ends))[np.cumsum(sizes)].astype(np.int32)
+            decoded = pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(bounds), pa.py_buffer(raw)])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, step), *[c.slice(a, step) for c in batch.columns[2:]], part, decoded], [id_col, *extra, ids_col, "decoded"])
 
-    kind = df.schema[id_col].dataType.simpleString()
-    return map_arrow(df.select(id_col, ids_col), each, f"`{id_col}` {kind}, `{ids_col}` array<int>, decoded binary")
+    return map_arrow(df.select(id_col, ids_col, *extra), each, _columns(df, id_col, *extra) + f", `{ids_col}` array<int>, decoded binary")
 
 
 def digests(coded: DataFrame, id_col: str = "doc_id") -> DataFrame:
