@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.common import map_arrow
+from weft.llm.common import few, map_arrow, written
 from weft.llm.words import FOLD, SPACE, U, mix, pieces
 
 Q, RATE, LEAST, BLOCK_BYTES = 12, 0.05, 24, 8 << 20
@@ -205,3 +205,11 @@ def by_document(df: DataFrame, found: DataFrame, id_col: str = "doc_id") -> Data
     out = df.select(id_col).join(hits, F.col(id_col).eqNullSafe(F.col("__id")), "left")
     none = F.array().cast(hits.schema["hits"].dataType)
     return out.select(id_col, F.col("hits").isNotNull().alias("contaminated"), F.coalesce("hits", none).alias("hits"))
+
+
+def keep_clean(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of df, all columns, in whose text no item occurs; of rows that
+    share an id, all go if one does."""
+    gone = written(find(df, benchmark, id_col, text_col, **options).select(F.col(id_col).alias("__gone")).distinct())
+    out = df.join(few(gone), F.col(id_col).eqNullSafe(F.col("__gone")), "left_anti")
+    return out.select(*df.columns)

@@ -209,16 +209,36 @@ def accepted(model: Model, s: Column) -> Column:
     return s["valid"] | ((s["kind"] >= len(BASE)) & (z > 0))
 
 
-def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", extra: tuple[str, ...] = ()) -> DataFrame:
-    """One row per row of df: (id_col, extra columns, spans array<struct<kind:
-    string, start, end: bigint, base: boolean>>) by kind, then start."""
-    found = written(proposals(df, id_col, text_col, extra))
+def learn(found: DataFrame) -> Model:
+    """The model of proposals()' rows."""
     one = F.col("s")
     rows = found.select(F.explode("found").alias("s")).groupBy(one["kind"].alias("kind"), one["votes"].alias("votes"), one["length"].alias("length"), one["digits"].alias("digits")).count().collect()
-    model = fit(sorted((r["kind"], tuple(r["votes"]), r["length"], r["digits"], r["count"]) for r in rows))
+    return fit(sorted((r["kind"], tuple(r["votes"]), r["length"], r["digits"], r["count"]) for r in rows))
+
+
+def kept(found: Column, model: Model) -> Column:
+    """array<struct<kind: string, start, end: bigint, base: boolean>> of the
+    proposals that stay, by kind, then start."""
     names = F.array(*[F.lit(k) for k in KINDS])
-    kept = F.array_sort(F.transform(F.filter("found", lambda s: accepted(model, s)), lambda s: F.struct(s["kind"].alias("at"), s["start"].alias("start"), s["end"].alias("end"), s["valid"].alias("base"))))
-    return found.select(id_col, *extra, F.transform(kept, lambda s: F.struct(F.element_at(names, s["at"] + 1).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["base"].alias("base"))).alias("spans"))
+    order = F.array_sort(F.transform(F.filter(found, lambda s: accepted(model, s)), lambda s: F.struct(s["kind"].alias("at"), s["start"].alias("start"), s["end"].alias("end"), s["valid"].alias("base"))))
+    return F.transform(order, lambda s: F.struct(F.element_at(names, s["at"] + 1).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["base"].alias("base")))
+
+
+def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of df: (id_col, spans) as kept() has them."""
+    found = written(proposals(df, id_col, text_col))
+    return found.select(id_col, kept(F.col("found"), learn(found)).alias("spans"))
+
+
+def mask(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """df with each span of text_col replaced by its kind in brackets.  The model
+    is learnt from narrow proposals; then texts are read once more, so that no
+    text is written or joined.  Null texts stay null."""
+    model = learn(written(proposals(df, id_col, text_col)))
+    whole = proposals(df, id_col, text_col, tuple(c for c in df.columns if c != id_col))
+    spans = F.when(F.size("found") > 0, kept(F.col("found"), model))
+    out = whole.withColumn("__spans", spans)
+    return out.select(*[F.when(F.size("__spans") > 0, masked(F.col(text_col), F.col("__spans"))).otherwise(F.col(text_col)).alias(c) if c == text_col else F.col(c) for c in df.columns])
 
 
 def joined(found: Column) -> Column:
