@@ -6,6 +6,7 @@ from __future__ import annotations
 
 import math
 import sys
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -99,21 +100,17 @@ def t_point(p: float, df: float) -> float:
     return (low + high) / 2
 
 
-@F.pandas_udf(T.DoubleType())
-def t_quantile(p: pd.Series, df: pd.Series) -> pd.Series:
-    return pd.Series([t_point(a, b) for a, b in zip(p, df, strict=True)], dtype="float64")
+def _udf(f: Callable[..., float]):
+    """f over Arrow batches; NaN stays NaN (pandas would make it null)."""
 
+    @F.pandas_udf(T.DoubleType())
+    def batch(*columns: pd.Series) -> pd.Series:
+        return pd.Series([f(*v) for v in zip(*columns, strict=True)], dtype="float64")
 
-@F.pandas_udf(T.DoubleType())
-def t_pvalue(t: pd.Series, df: pd.Series) -> pd.Series:
-    return pd.Series([t_tail(a, b) for a, b in zip(t, df, strict=True)], dtype="float64")
+    return lambda *args: F.coalesce(batch(*args), F.lit(math.nan))
 
 
-@F.pandas_udf(T.DoubleType())
-def beta_regularised(a: pd.Series, b: pd.Series, x: pd.Series) -> pd.Series:
-    return pd.Series([beta_inc(*v) for v in zip(a, b, x, strict=True)], dtype="float64")
-
-
-@F.pandas_udf(T.DoubleType())
-def erfc(x: pd.Series) -> pd.Series:
-    return pd.Series([math.erfc(v) if v == v else math.nan for v in x], dtype="float64")
+t_quantile = _udf(t_point)
+t_pvalue = _udf(t_tail)
+beta_regularised = _udf(beta_inc)
+erfc = _udf(math.erfc)
