@@ -13,14 +13,14 @@ n-grams that must all agree, so common passages alone bring no sets together.
    vertical fragments apart and summed per pair.
 3. Two members of a hub that don't both link to it may still link to each other.
    Their differences from the hub must then overlap, and that join has a prefix
-   filter (differences that few members share come first), so a large group of
-   near copies never becomes all of its pairs.  What remains is counted as in 2.
+   filter (differences that many members share come last), so a large group of
+   near copies never becomes all of its pairs.  What remains is counted exactly.
 4. Links become connected components.
 
 No link between different sets is lost: members of a hub that both link to it
 are connected already, and all others that can link are counted exactly.
 
-Broadcasts hold ids or fragment hashes up to BROADCAST_ROWS rows, counted
+Broadcasts hold ids or fragment hashes up to common.BROADCAST_ROWS rows, counted
 before; beyond that the same join is shuffled.
 
 Null and empty texts have the empty set, which links with nothing.  Rows that
@@ -37,13 +37,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.common import lists, map_arrow, written
+from weft.llm.common import few, lists, map_arrow, written
 from weft.llm.components import components
 from weft.llm.words import U, cut, mix, pieces
 
-BROADCAST_ROWS = 1_000_000
 #: Fragments in which partial overlaps are counted apart.
 VERTICAL = 8
+#: Members of a large hub that its common differences are told from, about.
+SAMPLE = 24
 
 
 def levels(most: int = 1 << 40) -> np.ndarray:
@@ -102,22 +103,16 @@ def signatures(s: np.ndarray, percent: int) -> np.ndarray:
     return np.unique(np.concatenate(out)) if out else np.empty(0, U)
 
 
-def _few(df: DataFrame) -> DataFrame:
-    """df (written), to be broadcast if it has few rows."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
-def _overlaps(pairs: DataFrame, tokens: DataFrame, differences: bool) -> DataFrame:
-    """(a, b, na, nb, shared[, beyond]) for pairs (a, b): overlaps are counted by
-    fragment and summed; beyond: what a has and b hasn't, then what b has and a
-    hasn't, each by hash."""
+def _overlaps(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
+    """(a, b, na, nb, shared, gained, lost) for pairs (a, b): overlaps are counted
+    by fragment and summed; gained: what a has and b hasn't, lost: what b has and
+    a hasn't."""
+    hubs = tokens.join(few(written(pairs.select(F.col("b").alias("id")).distinct())), "id", "left_semi")
     left = tokens.select(F.col("id").alias("a"), "v", F.col("n").alias("na"), F.col("tokens").alias("ta"))
-    right = tokens.select(F.col("id").alias("b"), "v", F.col("n").alias("nb"), F.col("tokens").alias("tb"))
-    both = pairs.join(left, "a").join(right, ["b", "v"])
-    partial = [F.sum(F.size(F.array_intersect("ta", "tb"))).alias("shared")]
-    if differences:
-        gather = lambda x, y: F.array_sort(F.flatten(F.collect_list(F.array_except(x, y))))
-        partial.append(F.concat(gather("ta", "tb"), gather("tb", "ta")).alias("beyond"))
+    right = hubs.select(F.col("id").alias("b"), "v", F.col("n").alias("nb"), F.col("tokens").alias("tb"))
+    both = left.join(few(pairs), "a").join(right, ["b", "v"])
+    gather = lambda x, y: F.flatten(F.collect_list(F.array_except(x, y)))
+    partial = [F.sum(F.size(F.array_intersect("ta", "tb"))).alias("shared"), gather("ta", "tb").alias("gained"), gather("tb", "ta").alias("lost")]
     return both.groupBy("a", "b", "na", "nb").agg(*partial)
 
 
@@ -139,10 +134,11 @@ def links(df: DataFrame, percent: int = 90, width: int = 3, id_col: str = "doc_i
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *columns], ["id", "n", "c1", "c2", "sigs"])
 
     digests = written(map_arrow(base, digest, f"id {kind}, n bigint, c1 bigint, c2 bigint, sigs array<bigint>"))
-    classes = written(digests.where("n > 0").groupBy("c1", "c2").agg(F.min("id").alias("rep"), F.first("sigs").alias("sigs")))
-    rows = classes.select(F.explode("sigs").alias("sig"), "rep")
+    classes = written(digests.where("n > 0").groupBy("c1", "c2").agg(F.min("id").alias("rep")))
+    firsts = few(written(classes.select(F.col("rep").alias("id")).distinct()))
+    rows = digests.where("n > 0").join(firsts, "id", "left_semi").select(F.explode("sigs").alias("sig"), F.col("id").alias("rep"))
     shared = written(rows.groupBy("sig").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).where("hub <> last").select("sig", "hub"))
-    stars = written(rows.join(_few(shared), "sig").where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct())
+    stars = written(rows.join(few(shared), "sig").where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct())
     involved = written(stars.select("a").union(stars.select("b")).toDF("id").distinct())
 
     def fragments(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -157,12 +153,14 @@ def links(df: DataFrame, percent: int = 90, width: int = 3, id_col: str = "doc_i
             bounds = np.concatenate(([0], np.cumsum([len(x) for x in parts])))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids)), pa.array(ns, pa.int64()), pa.array(vs, pa.int32()), lists(pa.array(np.concatenate(parts)), bounds)], ["id", "n", "v", "tokens"])
 
-    tokens = written(map_arrow(base.join(_few(involved), "id", "left_semi"), fragments, f"id {kind}, n bigint, v int, tokens array<bigint>").dropDuplicates(["id", "v"]))
+    tokens = written(map_arrow(base.join(few(involved), "id", "left_semi"), fragments, f"id {kind}, n bigint, v int, tokens array<bigint>"))
+    if tokens.count() > VERTICAL * involved.count():  # rows repeat an id
+        tokens = written(tokens.dropDuplicates(["id", "v"]))
 
     def linked(na: str, nb: str, shared: str) -> Column:
         return F.expr(f"100 * {shared} >= {percent} * ({na} + {nb} - {shared})")
 
-    star = _overlaps(stars, tokens, True).withColumn("linked", linked("na", "nb", "shared"))
+    star = _overlaps(stars, tokens).withColumn("linked", linked("na", "nb", "shared"))
     share = f"{100 - percent}D / {100 + percent}"
     star = star.withColumns({"size": F.expr("na + nb - 2 * shared"), "most": F.expr(f"cast(floor({share} * (na + na * 100 div {percent})) as bigint)")})
     # Prefixes, from the least overlap that a linked pair of members must have (see prefix_bounds in the tests).
@@ -170,17 +168,20 @@ def links(df: DataFrame, percent: int = 90, width: int = 3, id_col: str = "doc_i
     needs = F.greatest(F.lit(1), F.expr("size - floor(most / 2)"), F.when(F.col("linked"), tight).otherwise(F.lit(1)))
     star = written(star.withColumns({"small": F.greatest(F.col("size") - needs + 1, F.lit(0)).cast("int"), "large": F.least("size", F.expr("most + 1")).cast("int")}))
 
-    open_hubs = star.groupBy("b").agg(F.count("*").alias("members"), F.max((~F.col("linked")).cast("int")).alias("some")).where("members > 1 and some = 1").select("b")
-    members = star.join(_few(written(open_hubs)), "b", "left_semi")
-    # What few members of the hub have beyond it comes first.
-    each = members.select("a", "b", "na", "size", "linked", "small", "large", F.explode("beyond").alias("x"))
-    often = each.groupBy("b", "x").agg(F.count("*").alias("often"))
-    ordered = written(each.join(often, ["b", "x"]).groupBy("a", "b", "na", "size", "linked", "small", "large").agg(F.array_sort(F.collect_list(F.struct("often", "x"))).alias("beyond")))
+    open_hubs = star.groupBy("b").agg(F.count("*").alias("members"), F.max((~F.col("linked")).cast("int")).alias("some")).where("members > 1 and some = 1").select("b", "members")
+    members = star.join(few(written(open_hubs)), "b")
+    # What many members have beyond the hub, by a sample of large groups, comes
+    # last; any order that a hub's members share loses nothing.
+    drawn = members.where((F.col("members") > SAMPLE) & (F.pmod(F.xxhash64("a", "b"), F.greatest(F.floor(F.col("members") / SAMPLE), F.lit(1))) == 0))
+    each = drawn.select("b", F.explode(F.concat("gained", "lost")).alias("x"))
+    common = written(each.groupBy("b", "x").count().where(F.col("count") > SAMPLE / 12).groupBy("b").agg(F.collect_list("x").alias("common")))
+    known = members.join(few(common), "b", "left").withColumn("common", F.coalesce("common", F.array().cast("array<bigint>")))
+    tiers = [f(F.col(c), F.col("common")) for f in (F.array_except, F.array_intersect) for c in ("gained", "lost")]
+    ordered = written(known.select("a", "b", "na", "size", "linked", "small", "large", F.concat(*[F.array_sort(t) for t in tiers]).alias("beyond")))
 
     def side(prefix: str, name: str) -> DataFrame:
-        first = F.posexplode(F.slice("beyond", F.lit(1), F.col(prefix))).alias(f"{name}_at", "e")
-        rows = ordered.select("b", first, *[F.col(c).alias(f"{name}_{c}") for c in ("a", "na", "size", "linked")])
-        return rows.where("e.often > 1").withColumn("x", F.col("e.x")).drop("e")
+        first = F.posexplode(F.slice("beyond", F.lit(1), F.col(prefix))).alias(f"{name}_at", "x")
+        return ordered.select("b", first, *[F.col(c).alias(f"{name}_{c}") for c in ("a", "na", "size", "linked")])
 
     meets = F.expr(
         f"(s_size < l_size or (s_size = l_size and s_a < l_a)) and not (s_linked and l_linked) "
@@ -189,8 +190,13 @@ def links(df: DataFrame, percent: int = 90, width: int = 3, id_col: str = "doc_i
     met = side("small", "s").join(side("large", "l"), ["b", "x"]).where(meets).groupBy("b", "s_a", "l_a", "s_na", "l_na", "s_size", "l_size").agg(F.count("*").alias("met"), F.max("s_at").alias("s_at"), F.max("l_at").alias("l_at"))
     # Past the last element met, no more can be shared than the shorter rest has.
     enough = F.expr(f"met + least(s_size - s_at, l_size - l_at) - 1 >= (s_size + l_size - {share} * (s_na + l_na)) / 2")
-    more = met.where(enough).select(F.least("s_a", "l_a").alias("a"), F.greatest("s_a", "l_a").alias("b")).distinct()
-    second = _overlaps(written(more.join(stars, ["a", "b"], "left_anti")), tokens, False).where(linked("na", "nb", "shared"))
+    more = written(met.where(enough).select("b", "s_a", "l_a", "s_na", "l_na", "s_size", "l_size"))
+    xs = lambda name: ordered.select("b", F.col("a").alias(f"{name}_a"), F.col("beyond").alias(f"{name}_x"))
+    counted = xs("s").join(few(more), ["b", "s_a"]).join(xs("l"), ["b", "l_a"])
+    # Their symmetric difference is that of their differences from the hub.
+    apart = F.col("s_size") + F.col("l_size") - 2 * F.size(F.array_intersect("s_x", "l_x"))
+    second = counted.withColumn("shared", F.expr("s_na + l_na") - apart).withColumn("shared", F.expr("shared div 2")).where(linked("s_na", "l_na", "shared"))
+    second = second.select(F.least("s_a", "l_a").alias("a"), F.greatest("s_a", "l_a").alias("b"))
     found = written(star.where("linked").select("a", "b").union(second.select("a", "b")).distinct())
     named = classes.select("c1", "c2", "rep").join(components(found).withColumnRenamed("id", "rep"), "rep", "left")
     named = named.select("c1", "c2", F.coalesce("component", "rep").alias("component"))
@@ -198,6 +204,13 @@ def links(df: DataFrame, percent: int = 90, width: int = 3, id_col: str = "doc_i
     return placed.select("id", "n", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component")), found
 
 
+def keep_first(df: DataFrame, percent: int = 90, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of df but for those whose component has a smaller id."""
+    found, _ = links(df, percent, width, id_col, text_col)
+    gone = written(found.where("component < id").select(F.col("id").alias(id_col)).distinct())
+    return df.join(few(gone), id_col, "left_anti")
+
+
 def join(df: DataFrame, percent: int = 90, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of df: (id_col, n_shingles, component_id)."""
     found, _ = links(df, percent, width, id_col, text_col)
