@@ -39,6 +39,27 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(documents(spark, sf_dir))
 
 
+OP3_SQL = """
+with recursive words as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as w
+  from documents
+), grams as (
+  select distinct doc_id, array_to_string(list_slice(w, i, i + 2), ' ') as g
+  from (select doc_id, w, unnest(range(1, greatest(len(w) - 1, 2))) as i from words where len(w) > 0)
+), sizes as (
+  select doc_id, count(g) as n from words left join grams using (doc_id) group by doc_id
+), links as (
+  select x.doc_id as a, y.doc_id as b
+  from (select p.doc_id as x, q.doc_id as y, count(*) as i from grams p join grams q on p.g = q.g and p.doc_id <> q.doc_id group by 1, 2) o
+  join sizes x on x.doc_id = o.x join sizes y on y.doc_id = o.y
+  where 100 * i >= 90 * (x.n + y.n - i)
+), reached(doc_id, c) as (
+  select doc_id, doc_id from words union select b, c from reached join links on a = doc_id
+)
+select doc_id, n::bigint as n_shingles, min(c) as component_id from reached join sizes using (doc_id) group by doc_id, n
+"""
+
+
 def op4_kd_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     dims = {"n_chars": shards.log_scale(F.col("n_chars")), "lang": shards.category(F.col("lang"))}
     out = shards.shards(documents(spark, sf_dir), dims, leaves=8)
@@ -106,4 +127,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_substring_dedup": OP6_SQL}
+    return {"op3_ngram_jaccard_join": OP3_SQL, "op6_substring_dedup": OP6_SQL}
