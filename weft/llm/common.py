@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -20,11 +22,18 @@ def shared_dir(spark: SparkSession) -> str:
     where that is unset (tests, local mode)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='weft-')}"
+        own = tempfile.mkdtemp(prefix="weft-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        found = f"file://{own}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def named(name: str) -> Column:
+    """The column of that very name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def written(df: DataFrame) -> DataFrame:
     """df, written to the shared folder and read again: later stages start from
     files that outlive any executor, and nothing above is computed twice."""

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.common import few, map_arrow, written
+from weft.llm.common import few, map_arrow, named, written
 from weft.llm.words import FOLD, SPACE, U, mix, pieces
 
 Q, RATE, LEAST, BLOCK_BYTES = 12, 0.05, 24, 8 << 20
@@ -212,4 +212,4 @@ def keep_clean(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     share an id, all go if one does."""
     gone = written(find(df, benchmark, id_col, text_col, **options).select(F.col(id_col).alias("__gone")).distinct())
     out = df.join(few(gone), F.col(id_col).eqNullSafe(F.col("__gone")), "left_anti")
-    return out.select(*df.columns)
+    return out.select(*[named(c) for c in df.columns])

@@ -26,7 +26,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.common import written
+from weft.llm.common import named, written
 from weft.llm.spans import spans
 
 BASE = ("email", "ip", "card", "phone")
@@ -139,9 +139,10 @@ def _proposed(kind: str, text: Column) -> Column:
     return F.transform(spans(text, F.lit(PATTERNS[kind])), made)
 
 
-def proposals(df: DataFrame, id_col: str, text_col: str, extra: tuple[str, ...] = ()) -> DataFrame:
-    """(id_col, extra columns, found array) for each row: all kinds' proposals."""
-    base = df.select(id_col, *extra, F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
+def proposals(df: DataFrame, id_col: str, text_col: str, whole: bool = False) -> DataFrame:
+    """(id_col, or all columns of df, and __found) for each row: all kinds' proposals."""
+    columns = [named(c) for c in df.columns] if whole else [named(id_col)]
+    base = df.select(*columns, F.coalesce(named(text_col), F.lit("")).alias("__text"))
     text = F.col("__text")
     empty = F.array().cast("array<struct<kind: int, start: bigint, end: bigint, valid: boolean, votes: array<int>, length: int, digits: int>>")
 
@@ -152,7 +153,7 @@ def proposals(df: DataFrame, id_col: str, text_col: str, extra: tuple[str, ...]
             where = where | t
         return F.when(where, _proposed(kind, text)).otherwise(empty)
 
-    return base.select(id_col, *extra, F.concat(*[gated(k) for k in KINDS]).alias("found"))
+    return base.select(*columns, F.concat(*[gated(k) for k in KINDS]).alias("__found"))
 
 
 def fit(counts: list[tuple[int, tuple[int, ...], int, int, int]], rounds: int = 40, steps: int = 300) -> Model:
@@ -212,7 +213,7 @@ def accepted(model: Model, s: Column) -> Column:
 def learn(found: DataFrame) -> Model:
     """The model of proposals()' rows."""
     one = F.col("s")
-    rows = found.select(F.explode("found").alias("s")).groupBy(one["kind"].alias("kind"), one["votes"].alias("votes"), one["length"].alias("length"), one["digits"].alias("digits")).count().collect()
+    rows = found.select(F.explode("__found").alias("s")).groupBy(one["kind"].alias("kind"), one["votes"].alias("votes"), one["length"].alias("length"), one["digits"].alias("digits")).count().collect()
     return fit(sorted((r["kind"], tuple(r["votes"]), r["length"], r["digits"], r["count"]) for r in rows))
 
 
@@ -227,7 +228,7 @@ def kept(found: Column, model: Model) -> Column:
 def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of df: (id_col, spans) as kept() has them."""
     found = written(proposals(df, id_col, text_col))
-    return found.select(id_col, kept(F.col("found"), learn(found)).alias("spans"))
+    return found.select(id_col, kept(F.col("__found"), learn(found)).alias("spans"))
 
 
 def mask(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -235,10 +236,10 @@ def mask(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     is learnt from narrow proposals; then texts are read once more, so that no
     text is written or joined.  Null texts stay null."""
     model = learn(written(proposals(df, id_col, text_col)))
-    whole = proposals(df, id_col, text_col, tuple(c for c in df.columns if c != id_col))
-    spans = F.when(F.size("found") > 0, kept(F.col("found"), model))
+    whole = proposals(df, id_col, text_col, whole=True)
+    spans = F.when(F.size("__found") > 0, kept(F.col("__found"), model))
     out = whole.withColumn("__spans", spans)
-    return out.select(*[F.when(F.size("__spans") > 0, masked(F.col(text_col), F.col("__spans"))).otherwise(F.col(text_col)).alias(c) if c == text_col else F.col(c) for c in df.columns])
+    return out.select(*[F.when(F.size("__spans") > 0, masked(named(c), F.col("__spans"))).otherwise(named(c)).alias(c) if c == text_col else named(c) for c in df.columns])
 
 
 def joined(found: Column) -> Column:
