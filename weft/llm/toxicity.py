@@ -253,7 +253,9 @@ def keep(df: DataFrame, model: Model, text_col: str = "text", threshold: float =
             part = batch.slice(a, b - a)
             yield part.filter(pa.array([probability(t, held.value)[0] < threshold for t in part.column(at).to_pylist()], pa.bool_()))
 
-    return map_arrow(df, each, df.schema)
+    # By place, because Arrow maps look columns up by name, dots included.
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    return map_arrow(plain, each, plain.schema).toDF(*df.columns)
 
 
 def training(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
