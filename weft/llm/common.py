@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -49,6 +51,16 @@ BATCH_ROWS = 1_000
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
+def release() -> None:
+    """Gives freed memory back to the system: Python workers live on between
+    tasks and stages, and what they keep adds up beside the JVM's memory."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+        if trim:
+            trim(0)
+
+
 def small_batches(spark: SparkSession) -> None:
     if spark.conf.get(_BATCH) == "10000":
         spark.conf.set(_BATCH, BATCH_ROWS)
@@ -63,6 +75,7 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBa
         for batch in batches:
             if batch.num_rows:
                 yield from fn(batch)
+                release()
 
     return df.mapInArrow(run, schema)
 

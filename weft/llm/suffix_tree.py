@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.common import lists, small_batches, written
+from weft.llm.common import lists, release, small_batches, written
 from weft.llm.words import U, cut, mix, pieces
 
 DEPTH, SHARE, WORD_SHARE = 4, 1e-4, 1e-6
@@ -138,6 +138,7 @@ def count(train: DataFrame, text_col: str = "text") -> DataFrame:
                 for kind, keys in ((0, words), (1, before * 512 + nexts)):
                     for k, n in held[kind].add(keys):
                         yield out(kind, k, n)
+            release()
         for kind in (0, 1):
             for k, n in held[kind].rest():
                 yield out(kind, k, n)
@@ -295,6 +296,7 @@ def score(df: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
                     ],
                     ["id", "row", "n_tokens", "known", "partial", "n_symbols", "score", "rare", "times"],
                 )
+            release()
 
     source = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("row"))
     local = source.mapInArrow(run, f"id {kind}, row bigint, n_tokens bigint, known bigint, partial double, n_symbols bigint, score double, rare array<bigint>, times array<bigint>")
