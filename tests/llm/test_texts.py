@@ -39,6 +39,8 @@ def test_bpe(spark, docs):
     for r in rows:
         text = texts[r["doc_id"]] or ""
         assert r["ids"] == exact.encode_ordinary(text) and bytes(r["decoded"]) == text.encode() and r["id"] == "clash"
+    once = bpe.round_trip(docs(AWKWARD), RANKS, public_tokenizers.PATTERN, extra=("id",)).collect()
+    assert sorted(map(str, once)) == sorted(map(str, rows))
     first = bpe.digests(bpe.decode(bpe.encode(docs([(3, "ab c")]), RANKS, public_tokenizers.PATTERN), RANKS)).first()
     ids = exact.encode_ordinary("ab c")
     assert first["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()

@@ -30,7 +30,7 @@ from weft.llm.common import lists, map_arrow
 from weft.llm.words import pieces as row_ranges
 
 #: Pieces that one Python worker remembers; beyond it, memory starts anew.
-REMEMBERED = 500_000
+REMEMBERED = 250_000
 
 
 def byte_table() -> list[str]:
@@ -167,6 +167,30 @@ def encode(df: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id",
     return map_arrow(df.select(id_col, text_col, *extra), each, schema)
 
 
+def _decoded(ids: np.ndarray, sizes: np.ndarray, data: bytes) -> pa.Array:
+    """The bytes of consecutive ids, cut into rows of so many ids."""
+    raw, ends = gather(ids, data)
+    bounds = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(sizes)))].astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(bounds), pa.py_buffer(raw)])
+
+
+def round_trip(df: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", extra: tuple[str, ...] = ()) -> DataFrame:
+    """decode(encode(df)) in one Arrow pass: (id_col, extra columns, ids, decoded
+    binary), with one Python worker a task instead of two."""
+    held = df.sparkSession.sparkContext.broadcast(Path(vocabulary).read_bytes())
+
+    def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        known = pieces_of(held.value, pattern)
+        for a, b in row_ranges(batch.column(1)):
+            coded = known.encode(["" if t is None else t for t in batch.column(1).slice(a, b - a).to_pylist()])
+            flat = np.frombuffer(b"".join(coded), np.int32)
+            sizes = np.array([len(c) // 4 for c in coded])
+            columns = [batch.column(0).slice(a, b - a), *[c.slice(a, b - a) for c in batch.columns[2:]]]
+            yield pa.RecordBatch.from_arrays([*columns, lists(pa.array(flat), np.concatenate(([0], np.cumsum(sizes)))), _decoded(flat, sizes, held.value)], [id_col, *extra, "ids", "decoded"])
+
+    return map_arrow(df.select(id_col, text_col, *extra), each, _columns(df, id_col, *extra) + ", ids array<int>, decoded binary")
+
+
 def _columns(df: DataFrame, *names: str) -> str:
     return ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in names)
 
@@ -182,10 +206,8 @@ def decode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_col: str
         step = max(1, len(whole) * 250_000 // max(1, len(whole.flatten())))
         for a in range(0, len(whole), step):
             part = whole.slice(a, step)
-            sizes = np.array([0, *[len(x) if x.is_valid else 0 for x in part]])
-            raw, ends = gather(part.flatten().to_numpy(), held.value)
-            bounds = np.concatenate(([0], ends))[np.cumsum(sizes)].astype(np.int32)
-            decoded = pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(bounds), pa.py_buffer(raw)])
+            sizes = np.array([len(x) if x.is_valid else 0 for x in part], np.int64)
+            decoded = _decoded(part.flatten().to_numpy(), sizes, held.value)
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, step), *[c.slice(a, step) for c in batch.columns[2:]], part, decoded], [id_col, *extra, ids_col, "decoded"])
 
     return map_arrow(df.select(id_col, ids_col, *extra), each, _columns(df, id_col, *extra) + f", `{ids_col}` array<int>, decoded binary")

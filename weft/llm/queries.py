@@ -67,8 +67,7 @@ def op4_kd_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = bpe.encode(documents(spark, sf_dir), BPE_RANKS, public_tokenizers.PATTERN)
-    return bpe.digests(bpe.decode(coded, BPE_RANKS))
+    return bpe.digests(bpe.round_trip(documents(spark, sf_dir), BPE_RANKS, public_tokenizers.PATTERN))
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
