@@ -39,7 +39,7 @@ def mask_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids, and the text that they decode to."""
     extra = ("lang", "source", "n_chars")
-    decoded = bpe.decode(bpe.encode(docs, RANKS, public_tokenizers.PATTERN, extra=extra), RANKS, extra=extra)
+    decoded = bpe.round_trip(docs, RANKS, public_tokenizers.PATTERN, extra=extra)
     return decoded.select("doc_id", *extra, F.size("ids").cast("long").alias("n_tokens"), "ids", F.col("decoded").cast("string").alias("text"))
 
 
