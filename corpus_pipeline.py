@@ -21,8 +21,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by 3-gram Jaccard similarity, the least id stays."""
-    return jaccard.keep_first(docs)
+    """Of each group linked by Jaccard similarity of at least 0.8 on five words,
+    the least id stays."""
+    return jaccard.keep_first(docs, percent=80, width=5)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -73,6 +73,30 @@ def test_jaccard(spark, docs, percent, length):
     assert {r["doc_id"] for r in kept.collect()} == {i for i, c in want.items() if i == c} | {None}
 
 
+def test_pipeline_near_copies(spark, docs):
+    """The pipeline's stage links at five words and 0.8."""
+    import corpus_pipeline
+
+    rng = random.Random(21)
+    rows = list(enumerate(near_copies(rng, 6, 30, 60) + near_copies(rng, 6, 30, 110) + ["a b c d", "A b c d", "a b c d e", "", None]))
+    sets = [(i, w, {tuple(w[k : k + 5]) for k in range(max(len(w) - 4, min(len(w), 1)))}) for i, t in rows for w in [WORD.findall(fold(t))]]
+    parent = {i: i for i, _ in rows}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for n, (a, _, s) in enumerate(sets):
+        for b, _, t in sets[:n]:
+            if s and t and 100 * len(s & t) >= 80 * len(s | t):
+                x, y = root(a), root(b)
+                parent[max(x, y)] = min(x, y)
+    want = {i for i, _ in rows if root(i) == i}
+    assert want != {i for i, c in classes(rows, 90).items() if i == c}
+    assert {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs(rows), "").collect()} == want
+
+
 def test_large_near_copy_group(spark, docs):
     """One hub with many members: sampled order, prefixes and position filter."""
     rows = list(enumerate(near_copies(random.Random(9), 1, 260, 140)))
