@@ -266,6 +266,25 @@ def test_decontamination(spark, docs):
     assert decontaminate.find(df, bench.where("false")).count() == 0
 
 
+def test_bands_overlap():
+    """The full 5 % of edits, spread as insertions or deletions, at every
+    diagonal residue: no band border loses an occurrence."""
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    for length in (100, 199, 390):
+        item = "".join(rng.choice("abcdefgh") for _ in range(length))
+        ix = decontaminate.index([item.encode()], decontaminate.RATE)
+        edits = int(0.05 * length)
+        assert ix.edits.tolist() == [edits]
+        cuts = [round((j + 1) * length / (edits + 1)) for j in range(edits)]
+        more = "".join(c + "!" * (i + 1 in cuts) for i, c in enumerate(item))
+        less = "".join(c for i, c in enumerate(item) if i + 1 not in cuts)
+        for shift in range(2 * edits + 2):
+            texts = ["." * (100 + shift) + t + "." * 50 for t in (more, less)]
+            assert {r for r, *_ in decontaminate.occurrences(pa.array(texts), ix)} == {0, 1}, (length, shift)
+
+
 def test_alignment():
     def best(item, text):
         row = [0] * (len(text) + 1)

@@ -134,13 +134,13 @@ def occurrences(texts: pa.Array, ix: Index) -> Iterator[tuple[int, int, int, int
     diagonal = at - rows[row] - ix.offset[posting]
     step = ix.edits[item] + 1
     for shift in (0, 1):
-        band = diagonal // step - shift
+        band = (diagonal + shift * step) // (2 * step)
         key = mix(mix(mix(row.astype(U)) + item.astype(U)) + band.astype(np.int64).view(U))
         _, first, counts = np.unique(key, return_index=True, return_counts=True)
         found = first[counts >= ix.bound[item[first]]]
         for f in found[np.lexsort((band[found], item[found], row[found]))].tolist():
             r, i, k = int(row[f]), int(item[f]), int(ix.edits[item[f]])
-            text, low = data[rows[r] : rows[r + 1]], int(band[f]) * (k + 1)
+            text, low = data[rows[r] : rows[r + 1]], (2 * int(band[f]) - shift) * (k + 1)
             a, b = max(0, low - k), low + 2 * (k + 1) + len(ix.items[i]) + k
             exact = text[a:b].tobytes().find(ix.items[i])
             if exact >= 0:
