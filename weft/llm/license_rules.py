@@ -1,8 +1,9 @@
 """Licence families and the forms in which texts name them.
 
-Each family is (label, keyword that must occur, name as a regular expression
-over lower-case text, SPDX id); a blank in a name stands for any white space.
-Each form makes one rule of every family, so there are several hundred rules.
+Each family is (label, keyword, name as a regular expression over lower-case
+text, SPDX id); a blank in a name stands for any white space.  The keyword is a
+single word, or part of one, that every match of the name contains.  Each form
+makes one rule of every family, so there are several hundred rules.
 """
 
 from __future__ import annotations
@@ -10,6 +11,9 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
+#: The gate of most rules; families whose names can do without it, by label.
+COMMON = "licen"
+BARE = ("mit-0", "0bsd", "bsd-1-clause", "bsd-2-clause", "bsd-3-clause", "bsd-4-clause", "unicode", "hpnd", "cc0", "commons-clause", "openrail", "public-domain", "proprietary")
 VERSION = r"(?:,? (?:version|v\.?|ver\.?))? ?"
 
 
@@ -20,6 +24,7 @@ class Rule:
     pattern: str
     priority: int  # the lower, the stronger
     confidence: float
+    gate: str  # what every match contains, as the keyword, but shared by many rules
 
 
 def _blanks(pattern: str) -> str:
@@ -30,8 +35,10 @@ def _blanks(pattern: str) -> str:
 
 def _families() -> list[tuple[str, str, str, str]]:
     plain = [
-        ("mit", "mit", r"(?:mit|expat)(?:/x11)?(?: license)", "mit"),
-        ("mit-0", "mit-0", r"mit no attribution|mit-0", "mit-0"),
+        ("mit", "mit", r"mit(?:/x11)? license", "mit"),
+        ("mit", "expat", r"expat(?:/x11)? license", "mit"),
+        ("mit-0", "attribution", r"mit no attribution", "mit-0"),
+        ("mit-0", "mit-0", r"mit-0", "mit-0"),
         ("x11", "x11", r"x11 license", "x11"),
         ("isc", "isc", r"isc license", "isc"),
         ("0bsd", "bsd", r"zero-clause bsd|bsd zero clause license|0bsd", "0bsd"),
@@ -45,7 +52,8 @@ def _families() -> list[tuple[str, str, str, str]]:
         ("unlicense", "unlicense", r"the unlicense|unlicense\.org", "unlicense"),
         ("wtfpl", "fuck", r"do what the fuck you want to public license", "wtfpl"),
         ("beerware", "beer", r"beer-?ware license", "beerware"),
-        ("python", "python", r"python software foundation license|psf license", "psf-2.0"),
+        ("python", "python", r"python software foundation license", "psf-2.0"),
+        ("python", "psf", r"psf license", "psf-2.0"),
         ("ruby", "ruby", r"ruby license", "ruby"),
         ("postgresql", "postgresql", r"postgresql license", "postgresql"),
         ("openssl", "openssl", r"openssl license", "openssl"),
@@ -62,43 +70,43 @@ def _families() -> list[tuple[str, str, str, str]]:
         ("w3c", "w3c", r"w3c software(?: notice and)? license", "w3c"),
         ("ms-pl", "microsoft", r"microsoft public license", "ms-pl"),
         ("ms-rl", "microsoft", r"microsoft reciprocal license", "ms-rl"),
-        ("pddl", "public domain", r"(?:odc )?public domain dedication and license", "pddl-1.0"),
+        ("pddl", "dedication", r"(?:odc )?public domain dedication and license", "pddl-1.0"),
         ("odbl", "database", r"open database license", "odbl-1.0"),
-        ("odc-by", "data commons", r"open data commons attribution license", "odc-by-1.0"),
+        ("odc-by", "attribution", r"open data commons attribution license", "odc-by-1.0"),
         ("cc0", "cc0", r"cc0(?: 1\.0)?(?: universal)?", "cc0-1.0"),
-        ("commons-clause", "commons clause", r"commons clause(?: license condition)?", "commons-clause"),
+        ("commons-clause", "commons", r"commons clause(?: license condition)?", "commons-clause"),
         ("polyform", "polyform", r"polyform (?:noncommercial|small business|shield|strict) license", "polyform"),
         ("openrail", "rail", r"(?:creativeml )?open ?rail(?:-[ms])?(?: license)?", "openrail"),
-        ("public-domain", "public domain", r"(?:released|placed|dedicated)(?: in)?to the public domain", "public-domain"),
-        ("proprietary", "rights reserved", r"all rights reserved", "proprietary"),
+        ("public-domain", "domain", r"(?:released|placed|dedicated)(?: in)?to the public domain", "public-domain"),
+        ("proprietary", "reserved", r"all rights reserved", "proprietary"),
     ]
     versioned = [
         ("apache", "apache", r"apache (?:software )?license", ("1.0", "1.1", "2.0")),
-        ("gpl", "general public", r"(?:gnu )?general public license", ("1.0", "2.0", "3.0")),
-        ("lgpl", "general public", r"(?:gnu )?(?:lesser|library) general public license", ("2.0", "2.1", "3.0")),
+        ("gpl", "general", r"(?:gnu )?general public license", ("1.0", "2.0", "3.0")),
+        ("lgpl", "general", r"(?:gnu )?(?:lesser|library) general public license", ("2.0", "2.1", "3.0")),
         ("agpl", "affero", r"(?:gnu )?affero general public license", ("1.0", "3.0")),
         ("gfdl", "documentation", r"(?:gnu )?free documentation license", ("1.1", "1.2", "1.3")),
         ("mpl", "mozilla", r"mozilla public license", ("1.0", "1.1", "2.0")),
         ("epl", "eclipse", r"eclipse public license", ("1.0", "2.0")),
-        ("cddl", "common development", r"common development and distribution license", ("1.0", "1.1")),
-        ("cpl", "common public", r"common public license", ("1.0",)),
-        ("eupl", "european union", r"european union public licen[cs]e", ("1.1", "1.2")),
+        ("cddl", "development", r"common development and distribution license", ("1.0", "1.1")),
+        ("cpl", "common", r"common public license", ("1.0",)),
+        ("eupl", "european", r"european union public licen[cs]e", ("1.1", "1.2")),
         ("artistic", "artistic", r"(?:perl )?artistic license", ("1.0", "2.0")),
         ("afl", "academic", r"academic free license", ("2.1", "3.0")),
-        ("osl", "open software", r"open software license", ("2.1", "3.0")),
+        ("osl", "software", r"open software license", ("2.1", "3.0")),
         ("ecl", "community", r"educational community license", ("1.0", "2.0")),
         ("bsl", "boost", r"boost software license", ("1.0",)),
-        ("busl", "business source", r"business source license", ("1.1",)),
+        ("busl", "business", r"business source license", ("1.1",)),
         ("ofl", "font", r"sil open font license", ("1.0", "1.1")),
         ("php", "php", r"php license", ("3.0", "3.01")),
         ("zpl", "zope", r"zope public license", ("2.0", "2.1")),
-        ("qpl", "q public", r"q public license", ("1.0",)),
-        ("upl", "universal permissive", r"universal permissive license", ("1.0",)),
+        ("qpl", "public", r"q public license", ("1.0",)),
+        ("upl", "permissive", r"universal permissive license", ("1.0",)),
         ("lppl", "latex", r"latex project public license", ("1.2", "1.3c")),
         ("cecill", "cecill", r"cecill(?:-[bc])? licen[cs]e(?: agreement)?", ("2.0", "2.1")),
         ("mulanpsl", "mulan", r"mulan permissive software license", ("1.0", "2.0")),
         ("elastic", "elastic", r"elastic license", ("2.0",)),
-        ("sspl", "server side", r"server side public license", ("1.0",)),
+        ("sspl", "server", r"server side public license", ("1.0",)),
     ]
     out = list(plain)
     for label, keyword, name, versions in versioned:
@@ -109,8 +117,8 @@ def _families() -> list[tuple[str, str, str, str]]:
     for terms, words in (("by", "attribution"), ("by-sa", "attribution[- ]share-?alike"), ("by-nc", "attribution[- ]non-?commercial"), ("by-nd", "attribution[- ]no-?deriv(?:ative)?s"), ("by-nc-sa", "attribution[- ]non-?commercial[- ]share-?alike"), ("by-nc-nd", "attribution[- ]non-?commercial[- ]no-?deriv(?:ative)?s")):
         for v in ("2.0", "2.5", "3.0", "4.0"):
             exact = v.replace(".", r"\.")
-            out.append((f"cc-{terms}-{v}", terms, rf"(?:cc|creative commons)[ -]{terms.replace('-', '[- ]')}[ -]{exact}", f"cc-{terms}-{v}"))
-            out.append((f"cc-{terms}-{v}", "creative commons", rf"creative commons {words}(?: international)? {exact}(?: international| unported)?", f"cc-{terms}-{v}"))
+            out.append((f"cc-{terms}-{v}", v, rf"(?:cc|creative commons)[ -]{terms.replace('-', '[- ]')}[ -]{exact}", f"cc-{terms}-{v}"))
+            out.append((f"cc-{terms}-{v}", "creative", rf"creative commons {words}(?: international)? {exact}(?: international| unported)?", f"cc-{terms}-{v}"))
     return out
 
 
@@ -119,18 +127,19 @@ def rules() -> list[Rule]:
     made: dict[str, Rule] = {}
     grant = r"(?:licen[cs]ed|released|distributed|published|available|provided|covered|governed)(?: (?:under|by))(?: the)?(?: terms of(?: the)?)? "
     for label, keyword, name, spdx in _families():
+        gate = keyword if label in BARE or label.startswith("cc-") else COMMON
         tag = spdx.replace(".", r"\.").replace("+", r"\+")
-        for pattern, word, priority, confidence in (
-            (rf"spdx-license-identifier: ?{tag}(?:-only|-or-later|\+)?(?![0-9a-z.-])", "spdx", 1, 1.0),
-            (rf"\b{grant}(?:{name})", keyword, 2, 0.95),
-            (rf"\blicense: ?(?:{name}|{tag})(?![0-9a-z])", "license:", 3, 0.85),
-            (rf"\b(?:{name})", keyword, 4, 0.7),
+        for pattern, word, priority, confidence, first in (
+            (rf"spdx-license-identifier: ?{tag}(?:-only|-or-later|\+)?(?![0-9a-z.-])", "spdx", 1, 1.0, COMMON),
+            (rf"\b{grant}(?:{name})", keyword, 2, 0.95, gate),
+            (rf"\blicense: ?(?:{name}|{tag})(?![0-9a-z])", "license:", 3, 0.85, COMMON),
+            (rf"\b(?:{name})", keyword, 4, 0.7, gate),
         ):
-            made.setdefault(pattern, Rule(label, word, _blanks(pattern), priority, confidence))
+            made.setdefault(pattern, Rule(label, word, _blanks(pattern), priority, confidence, first))
     grants = [
-        ("mit", "permission is hereby granted", r"permission is hereby granted, free of charge, to any person obtaining a copy"),
-        ("isc", "permission to use", r"permission to use, copy, modify, and(?:/or)? distribute this software for any purpose with or without fee"),
-        ("bsd", "redistribution and use", r"redistribution and use in source and binary forms, with or without modification, are permitted"),
+        ("mit", "permission", r"permission is hereby granted, free of charge, to any person obtaining a copy"),
+        ("isc", "permission", r"permission to use, copy, modify, and(?:/or)? distribute this software for any purpose with or without fee"),
+        ("bsd", "redistribution", r"redistribution and use in source and binary forms, with or without modification, are permitted"),
         ("zlib", "as-is", r"this software is provided 'as-is', without any express or implied warranty"),
         ("boost", "boost", r"boost\.org/license_1_0\.txt"),
         ("apache-2.0", "apache.org", r"apache\.org/licenses/license-2\.0"),
@@ -142,5 +151,5 @@ def rules() -> list[Rule]:
         ("unlicense", "unencumbered", r"this is free and unencumbered software released into the public domain"),
     ]
     grants += [(f"cc-{t}-{v}", "creativecommons.org", rf"creativecommons\.org/licenses/{t}/{v.replace('.', chr(92) + '.')}") for t in ("by", "by-sa", "by-nc", "by-nd", "by-nc-sa", "by-nc-nd") for v in ("2.0", "2.5", "3.0", "4.0")]
-    out = [Rule(label, word, _blanks(pattern), 2, 0.9) for label, word, pattern in grants]
+    out = [Rule(label, word, _blanks(pattern), 2, 0.9, word) for label, word, pattern in grants]
     return sorted([*out, *made.values()], key=lambda r: r.priority)

@@ -1,7 +1,8 @@
 """Licence detection by ordered signature rules (operator 8), Spark functions only.
 
-A text passes a cheap gate of keywords; of the several hundred rules only those
-whose own keyword occurs are matched.  Detections are sorted by place: one that
+A text passes a cheap gate of words; of the several hundred rules only those
+whose own keyword occurs are matched.  Both are single words that every match of
+a rule contains, so neither loses a match.  Detections are sorted by place: one that
 lies inside another is suppressed, and of two that overlap the one of stronger
 priority stays.  One narrow pass without shuffle or Python.
 
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from weft.llm.license_rules import rules
 from weft.llm.spans import spans
 
-GATE = ("licen", "copyright", "spdx", "rights reserved", "public domain", "creative commons", "creativecommons", "permission", "redistribution", "general public", "cc by", "cc-by", "cc0", "as-is", "unencumbered", "gnu.org", "apache.org", "mozilla.org", "boost.org")
+GATE = tuple(sorted({r.gate for r in rules()}))
 SEP = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"
 WORD = f"[^{SEP}]+"
 BASE = rf"(?i)(?:(?<=[{SEP}])|\A)(?:mit|apache|general[{SEP}]+public)[{SEP}]+license(?=[{SEP}]|\z)"
