@@ -83,6 +83,14 @@ def test_model_finds_more_and_masks(spark, docs):
     assert masked.where("doc_id = 100").first()["text"] == rows[60][1]
 
 
+def test_long_secrets_are_masked_whole(spark, docs):
+    long = "".join(hashlib.sha1(str(i).encode()).hexdigest() for i in range(60))
+    rows = [(i, f"the token = \"{hashlib.sha1(str(i).encode()).hexdigest()}\" and mail a{i}@example.com end") for i in range(60)]
+    rows += [(100, f"secret={long} end"), (101, f"the key sk-{long[:300]} end")]
+    masked = {r["doc_id"]: r["text"] for r in pii.mask(docs(rows)).where("doc_id >= 100").collect()}
+    assert masked == {100: "secret[secret] end", 101: "the key [secret] end"}
+
+
 def test_masking_overlaps(spark):
     df = spark.createDataFrame([("0123456789", [("b", 4, 8), ("a", 2, 6), ("c", 2, 3), ("d", 8, 10)])], "t string, s array<struct<kind: string, start: bigint, end: bigint>>")
     assert df.select(pii.masked(F.col("t"), F.col("s"))).first()[0] == "01[a]67[d]"

@@ -48,7 +48,7 @@ PATTERNS = {
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){15,18}+(?![ -]?[0-9])",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
-    "secret": r"(?:(?<=[tT]oken|[sS]ecret|[pP]assword|api_key|API_KEY|apikey)[ ]?[=:][ ]?[\"']?[A-Za-z0-9_+/=-]{8,200}+)|(?:AKIA[0-9A-Z]{16}|ghp_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64})",
+    "secret": r"(?:(?<=[tT]oken|[sS]ecret|[pP]assword|api_key|API_KEY|apikey)[ ]?[=:][ ]?[\"']?[A-Za-z0-9_+/=-]{8,}+)|(?:AKIA[0-9A-Z]{16}|ghp_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,}+)",
     "hidden_email": r"[A-Za-z0-9._%+-]{1,64}+ ?[\[(]at[\])] ?[A-Za-z0-9-]{1,63}+(?: ?(?:\[dot\]|\(dot\)|\.) ?[A-Za-z0-9-]{1,63}+)+",
     "local_phone": r"(?<![0-9+()] )(?<![0-9+()./-])\(?[0-9]{3}\)?[ .-][0-9]{3}[.-][0-9]{4}(?![0-9.-])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
