@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from weft.operators import following, lasso, linalg, validate
+from weft.operators import following, lasso, linalg, ranks, validate
 
 
 def stream(spark, times, points):
@@ -106,3 +106,34 @@ def test_validate(spark):
         validate.require_finite(rows.withColumn("x", F.lit(float("nan"))), ["x"], "points").collect()
     with pytest.raises(Exception, match="row must have 3"):
         validate.require_dims(rows, "v", 3).collect()
+
+
+def test_tall_factors(spark):
+    rng = np.random.default_rng(18)
+    a = rng.normal(size=(200, 3)) * [1, 50, 0.01] + [0, 7, 1]
+    df = spark.createDataFrame([tuple(map(float, r)) for r in a], "a double, b double, c double").repartition(5)
+    frame, r = linalg.qr_tall(df, ["a", "b", "c"])
+    rows = frame.toPandas().to_numpy()
+    assert np.allclose(np.tril(r, -1), 0) and (np.diag(r) >= 0).all()
+    assert np.allclose(rows[:, 3:] @ r, rows[:, :3]) and np.allclose(rows[:, 3:].T @ rows[:, 3:], np.eye(3))
+    frame, s, v = linalg.svd_tall(df, ["a", "b", "c"])
+    rows = frame.toPandas().to_numpy()
+    assert np.allclose(s, np.linalg.svd(a, compute_uv=False)) and np.allclose(rows[:, 3:] * s @ v.T, rows[:, :3])
+    again, r = linalg.qr_tall(df.withColumn("d", F.col("a") * 2), ["a", "d"])
+    assert again.agg(F.max(F.abs("q1"))).first()[0] == 0 and abs(r[1, 1]) < 1e-9
+    _, r = linalg.qr_tall(df.where("false"), ["a", "b"])
+    assert (r == 0).all()
+    want = np.linalg.lstsq(a[:, :2], a[:, 2], rcond=None)[0]
+    assert linalg.least_squares(df, ["a", "b"], "c") == pytest.approx(want)
+
+
+def test_numbered(spark):
+    rng = np.random.default_rng(19)
+    rows = [(int(k), str(v)) for k, v in zip(rng.integers(0, 9, 500), rng.integers(0, 99, 500), strict=True)] + [(None, "x"), (None, "a"), (3, None)]
+    df = spark.createDataFrame(rows, "k int, s string").repartition(4)
+    order = lambda r: ((r[0] is not None, r[0] or 0), (r[1] is not None, r[1] or ""))
+    for n in (None, 1, 7, 300):
+        got = sorted(ranks.numbered(df, ["k", "s"], ranges=n).collect(), key=lambda r: r["place"])
+        assert [r["place"] for r in got] == list(range(len(rows)))
+        assert [(r["k"], r["s"]) for r in got] == sorted(rows, key=order)
+    assert ranks.numbered(df.where("false"), ["k"]).count() == 0

@@ -12,6 +12,16 @@ def test_names():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
+def test_core_stands_without_the_training_data_operators(monkeypatch):
+    """Also if they are there but cannot be imported."""
+    import sys
+
+    for name in [m for m in sys.modules if m.startswith("weft.llm")] + ["weft.llm", "corpus_pipeline"]:
+        monkeypatch.setitem(sys.modules, name, None)
+    names = set(entry.queries())
+    assert len(names) > 40 and set(entry.oracle_sql()) <= names and not any(n.startswith("op") or n == "pipeline" for n in names - {"orthogonal_design"})
+
+
 @pytest.mark.parametrize("fmt", tables.FORMATS)
 def test_formats(spark, tmp_path, fmt):
     rows = spark.createDataFrame([(1, 2.5), (2, float("nan"))], "id long, x double")

@@ -9,11 +9,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weft.functions.missing import as_nan
 from weft.functions.missing import col as _col
+from weft.operators.ranks import numbered
 
 
 def soft_threshold(z: Column | str, gamma: Column | float) -> Column:
@@ -54,15 +55,15 @@ def x1_contribution(
     the lasso fit whose penalty has the least cross-validated error.
 
     Rows are dealt to folds by their place in order_by modulo the number of
-    folds (2 at least, n / 2 at most), or by an integer column `fold`, which
-    spares the total order.  Predictors have no penalty where factors is 0; by
+    folds (2 at least, n / 2 at most; see ranks.numbered), or by an integer column
+    `fold`, which spares the total order.  Predictors have no penalty where factors is 0; by
     default those in x1.  Responses are centred, predictors standardised."""
     pf = np.array([0.0 if x in x1 else 1.0 for x in xs] if factors is None else factors, float)
     n = df.count()
     k = max(2, min(k_folds, n // 2))
-    place = F.row_number().over(Window.orderBy(*order_by)) - 1 if fold is None else F.col(fold)
     names = [*xs, *ys]
-    rows = df.select(F.pmod(place, F.lit(k)).alias("f"), *[as_nan(c).alias(f"c{i}") for i, c in enumerate(names)])
+    dealt, place = (numbered(df, order_by, "__place"), "__place") if fold is None else (df, fold)
+    rows = dealt.select(F.pmod(F.col(place), F.lit(k)).alias("f"), *[as_nan(c).alias(f"c{i}") for i, c in enumerate(names)])
     cells = [F.count("*").cast("double"), *[F.sum(f"c{i}") for i in range(len(names))], *[F.sum(F.col(f"c{i}") * F.col(f"c{j}")) for i in range(len(names)) for j in range(i, len(names))]]
     got = {r["f"]: np.array(r["s"]) for r in rows.groupBy("f").agg(F.array(*cells).alias("s")).collect()}
     p, m = len(xs), len(names)

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.functions import special
 from weft.functions.missing import as_nan
-from weft.operators import adjacency, distance, door, following, lasso, linalg, normalization, stability, stats, trajectory, validate
-from weft.sources.tables import array_to_long, read
+from weft.operators import adjacency, distance, door, following, lasso, linalg, normalization, ranks, stability, stats, trajectory, validate
+from weft.sources.tables import array_to_long, read, to_array
 
 CODES = ["click", "error", "purchase", "signup", "view"]
 STEPS = [0.0, 0.25, 0.5, 0.75, 1.0]
@@ -45,18 +46,18 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(user_id, t, x, y): one point a day, users of five days and more."""
+    """(user_id, t, x, y): one point a day."""
     from pyspark.sql import Window
 
     w = Window.partitionBy("user_id")
     days = read(spark, sf_dir, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.avg("value").alias("x"), F.count("*").cast("double").alias("y"))
     span = F.datediff(F.max("day").over(w), F.min("day").over(w))
     t = F.datediff("day", F.min("day").over(w)) / F.greatest(span, F.lit(1))
-    return days.select("user_id", "day", t.alias("t"), "x", "y", F.count("*").over(w).alias("n")).where("n >= 5").drop("n")
+    return days.select("user_id", "day", t.alias("t"), "x", "y")
 
 
-def lines_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trajectory.fit(daily(spark, sf_dir), ["user_id"], ["day"], "x", "y", "t", fixed_degree=1)
+def curves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trajectory.fit(daily(spark, sf_dir), ["user_id"], ["day"], "x", "y", "t", fixed_degree=3)
 
 
 def turns(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -95,9 +96,7 @@ def fold_directed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fold_directed_array(spark: SparkSession, sf_dir: str) -> DataFrame:
-    at = F.array_position(F.array(*map(F.lit, CODES)), F.col("j")) * 5 + F.array_position(F.array(*map(F.lit, CODES)), F.col("i")) - 6
-    cells = transitions(spark, sf_dir).groupBy("user_id").agg(*[F.coalesce(F.sum(F.when(at == k, F.col("w"))), F.lit(0.0)).alias(f"c{k}") for k in range(25)])
-    folded = cells.select("user_id", adjacency.fold_directed_network(F.array(*[f"c{k}" for k in range(25)])).alias("v"))
+    folded = _square(spark, sf_dir).select("user_id", adjacency.fold_directed_network("v").alias("v"))
     return folded.select("user_id", F.posexplode("v").alias("k", "w"))
 
 
@@ -105,6 +104,20 @@ def network_to_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adjacency.upper_edges(transitions(spark, sf_dir))
 
 
+def _square(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(user_id, v): transitions as a column-major array of 25."""
+    codes = F.array(*map(F.lit, CODES))
+    at = F.array_position(codes, F.col("j")) * 5 + F.array_position(codes, F.col("i")) - 6
+    return transitions(spark, sf_dir).groupBy("user_id").agg(F.array(*[F.coalesce(F.sum(F.when(at == k, F.col("w"))), F.lit(0.0)) for k in range(25)]).alias("v"))
+
+
+def network_to_vector_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole array, its upper triangle, and that with the diagonal."""
+    forms = {"full": {}, "upper": {"full": False}, "diagonal": {"full": False, "diagonal": True}}
+    each = [_square(spark, sf_dir).select("user_id", F.lit(n).alias("form"), F.posexplode(adjacency.network_to_vector("v", **o)).alias("k", "w")) for n, o in forms.items()]
+    return each[0].union(each[1]).union(each[2])
+
+
 def normalize_networks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = networks(spark, sf_dir).withColumn("v", normalization.normalize_networks("v"))
     return _round(rows.select("user_id", "day", F.posexplode("v").alias("k", "value")), "value")
@@ -165,12 +178,14 @@ def group_stats_wilcoxon(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def group_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.group_stats(_orders(spark, sf_dir), "grp", "F", "O")
+    out = stats.group_stats(_orders(spark, sf_dir), "grp", "F", "O")
+    out = _round(out, "mean1", "mean2", "sd1", "sd2", "t", "df", "cohens_d", "median1", "median2", digits=3)
+    return _round(out, "pvalue_t", "pvalue_u", "effect_r", digits=6)
 
 
 def normal_quantile(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = F.col("l_discount") * 9 + 0.05
-    return read(spark, sf_dir, "lineitem").groupBy(F.round(p, 4).alias("p")).agg(F.count("*").alias("n")).withColumn("z", F.round(special.normal_quantile(F.col("p")), 8))
+    return read(spark, sf_dir, "lineitem").groupBy(F.round(p, 4).alias("p")).agg(F.count("*").alias("n")).withColumn("z", F.round(special.normal_quantile(F.col("p")), 6))
 
 
 # --- door -----------------------------------------------------------------------
@@ -196,6 +211,12 @@ def lookback_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _door(door.lookback(lines(spark, sf_dir), ["user_id"], ["ts", "event_id"], ["value"], size=3, segment="day"))
 
 
+def lookback_returning_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments that come back: a run of one kind of event ends at another kind."""
+    rows = read(spark, sf_dir, "events").select("user_id", "event_id", "ts", "value", "event_type")
+    return _door(door.lookback(rows, ["user_id"], ["ts", "event_id"], ["value"], size=4, segment="event_type"))
+
+
 def lookback_per_unit(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = lines(spark, sf_dir)
     sizes = rows.select("user_id").distinct().withColumn("size", (F.col("user_id") % 25 + 1).cast("int"))
@@ -219,7 +240,8 @@ def ema_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def trajectory_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = lines_fit(spark, sf_dir).select("user_id", "n", *[F.element_at(c, k + 1).alias(f"{c[-1]}{k}") for c in ("coef_x", "coef_y") for k in (0, 1)])
+    out = trajectory.fit(daily(spark, sf_dir), ["user_id"], ["day"], "x", "y", "t", fixed_degree=1)
+    out = out.select("user_id", "n", *[F.element_at(c, k + 1).alias(f"{c[-1]}{k}") for c in ("coef_x", "coef_y") for k in (0, 1)])
     return _round(out, "x0", "x1", "y0", "y1")
 
 
@@ -230,16 +252,30 @@ def trajectory_fit_quadratic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def trajectory_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trajectory.fit(daily(spark, sf_dir), ["user_id"], ["day"], "x", "y", "t")
+    fits = trajectory.fit(daily(spark, sf_dir), ["user_id"], ["day"], "x", "y", "t")
+    coefficients = [F.get(c, F.lit(k)).alias(f"{c[-1]}{k}") for c in ("coef_x", "coef_y") for k in range(4)]
+    out = fits.select("user_id", "n", "degree", "cv_error", "aic", *coefficients, "basis", "error")
+    return _round(out, "cv_error", "aic", *[f"{c}{k}" for c in "xy" for k in range(4)], digits=4)
+
+
+def trajectory_search_aic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fits = trajectory.fit(daily(spark, sf_dir), ["user_id"], ["day"], "x", "y", "t", criterion="aic")
+    return _round(fits.select("user_id", "degree", "aic"), "aic", digits=4)
+
+
+def orthogonal_design(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = trajectory.orthogonal_basis(daily(spark, sf_dir), ["user_id"], "t", 3)
+    out = rows.select("user_id", F.col("day").cast("string").alias("day"), *[F.element_at("design", k).alias(f"p{k}") for k in (1, 2, 3)], *[F.element_at("alpha", k).alias(f"a{k}") for k in (1, 2, 3)], F.element_at("norm2", 5).alias("n3"))
+    return _round(out, "p1", "p2", "p3", "a1", "a2", "a3", "n3", digits=6)
 
 
 def trajectory_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _round(trajectory.evaluate_on(lines_fit(spark, sf_dir), ["user_id"], STEPS), "x", "y")
+    return _round(trajectory.evaluate_on(curves(spark, sf_dir), ["user_id"], STEPS), "x", "y")
 
 
 def trajectory_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = trajectory.evaluate_derivatives(lines_fit(spark, sf_dir), ["user_id"], STEPS)
-    return _round(out, "vx", "vy", "speed", "ax", "ay", "heading_rate", "curvature")
+    out = trajectory.evaluate_derivatives(curves(spark, sf_dir), ["user_id"], STEPS)
+    return _round(out, "vx", "vy", "speed", "ax", "ay", "heading_rate", "curvature", digits=4)
 
 
 def polynomial_design(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -248,21 +284,21 @@ def polynomial_design(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def trajectory_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = lines_fit(spark, sf_dir).select("user_id", "coef_x", "coef_y")
+    a = curves(spark, sf_dir).select("user_id", "coef_x", "coef_y")
     b = a.select((F.col("user_id") - 1).alias("user_id"), F.col("coef_x").alias("bx"), F.col("coef_y").alias("by"))
     out = a.join(b, "user_id").select("user_id", distance.integrated("coef_x", "coef_y", "bx", "by").alias("distance"))
     return _round(out, "distance")
 
 
 def trajectory_lagged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = lines_fit(spark, sf_dir).select("user_id", "coef_x", "coef_y")
+    a = curves(spark, sf_dir).select("user_id", "coef_x", "coef_y")
     b = a.select((F.col("user_id") - 1).alias("user_id"), F.col("coef_x").alias("bx"), F.col("coef_y").alias("by"))
     out = a.join(b, "user_id").select("user_id", distance.lagged("coef_x", "coef_y", "bx", "by", 0.2).alias("distance"))
     return _round(out, "distance")
 
 
 def trajectory_pairwise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _round(distance.pairwise(lines_fit(spark, sf_dir), "user_id"), "distance")
+    return _round(distance.pairwise(curves(spark, sf_dir), "user_id"), "distance")
 
 
 # --- following, stability, lasso, linear algebra, checks --------------------------
@@ -288,9 +324,14 @@ def soft_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lasso_contribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = read(spark, sf_dir, "part").select("p_partkey", "p_size", "p_retailprice", (F.col("p_partkey") % 7).cast("double").alias("week"), (F.col("p_partkey") % 11).cast("double").alias("lot"))
-    out = lasso.x1_contribution(parts, ["p_partkey"], ["p_size", "week", "lot"], ["p_retailprice"], ["p_size"])
-    return _round(out.select("p_partkey", "fit_p_retailprice"), "fit_p_retailprice")
+    parts = read(spark, sf_dir, "part").select("p_partkey", "p_size", "p_retailprice", (F.col("p_partkey") % 11).cast("double").alias("lot"))
+    out = lasso.x1_contribution(parts, ["p_partkey"], ["p_size", "lot"], ["p_retailprice"], ["p_size"])
+    return _round(out.select("p_partkey", "fit_p_retailprice"), "fit_p_retailprice", digits=3)
+
+
+def total_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "events").select("event_id", "event_type", "ts")
+    return ranks.numbered(rows, ["event_type", "ts", "event_id"]).select("event_id", "place")
 
 
 def gram_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -301,9 +342,45 @@ def gram_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def svd_spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The singular values of the embeddings, as the power sums that their Gram
+    matrix has as traces: log10 of the sum of s^2, s^4 and s^6."""
     wide = read(spark, sf_dir, "embeddings").select(*[F.element_at("embedding", k + 1).cast("double").alias(f"e{k}") for k in range(64)])
     s, _ = linalg.svd_right(wide, wide.columns)
-    return spark.createDataFrame([(i, float(v)) for i, v in enumerate(s)], "k int, s double")
+    return spark.createDataFrame([(k, round(float(np.log10((s ** (2 * k)).sum())), 8)) for k in (1, 2, 3)], "k int, log_sum double")
+
+
+QR_COLUMNS = ["one", "l_quantity", "l_discount"]
+
+
+def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.lit(1.0).alias("one"), "l_quantity", "l_discount", "l_tax")
+
+
+def tall_qr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q, _ = linalg.qr_tall(_items(spark, sf_dir), QR_COLUMNS)
+    return _round(q.select("l_orderkey", "l_linenumber", "q0", "q1", "q2"), "q0", "q1", "q2", digits=8)
+
+
+def tall_svd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """U, s and V of two columns, put together again, and U's lengths."""
+    u, s, v = linalg.svd_tall(_items(spark, sf_dir), ["l_quantity", "l_discount"])
+    back = [sum((F.col(f"u{k}") * F.lit(float(s[k] * v[j, k])) for k in (0, 1)), F.lit(0.0)).alias(n) for j, n in enumerate(("quantity", "discount"))]
+    lengths = u.agg(*[F.round(F.sum(F.col(f"u{a}") * F.col(f"u{b}")), 6).alias(f"u{a}{b}") for a, b in ((0, 0), (0, 1), (1, 1))]).withColumns({f"s{k}": F.round(F.lit(float(s[k])), 4) for k in (0, 1)})
+    rows = u.groupBy("l_linenumber").agg(F.round(F.sum(back[0]), 4).alias("quantity"), F.round(F.sum(back[1]), 4).alias("discount"))
+    return rows.join(F.broadcast(lengths))
+
+
+def least_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """l_tax on the others: a symmetric positive definite system."""
+    b = linalg.least_squares(_items(spark, sf_dir), QR_COLUMNS, "l_tax")
+    return spark.createDataFrame([(c, round(float(x), 8)) for c, x in zip(QR_COLUMNS, b, strict=True)], "name string, b double")
+
+
+def inverse_gram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The inverse of a symmetric matrix, scaled to rows."""
+    g = linalg.gram(_items(spark, sf_dir), ["one", "l_discount"])
+    inv = linalg.inv_sym(g / g[0, 0])
+    return spark.createDataFrame([(i, j, round(float(inv[i, j]), 6)) for i in (0, 1) for j in (0, 1)], "i int, j int, v double")
 
 
 def checked_points(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -312,13 +389,41 @@ def checked_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checked.groupBy("label").agg(F.count("*").alias("n"))
 
 
+def rejected_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the checks say of inputs that they must not pass."""
+    points = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    broken = points.withColumn("first", F.when(F.col("vec_id") == 3, F.lit(float("nan"))).otherwise(F.element_at("embedding", 1)))
+    cases = {
+        "finite": validate.require_finite(broken, ["first"]),
+        "dims": validate.require_dims(points, "embedding", 63),
+        "fold": points.select(adjacency.fold_directed_network(F.slice("embedding", 1, 7)).alias("v")),
+        "indices": None,
+    }
+    said = []
+    for name, df in cases.items():
+        try:
+            adjacency.connection_indices(spark, 3, row=2) if df is None else df.agg(F.count("*"), F.max(F.xxhash64(*df.columns))).collect()
+            said.append((name, "accepted"))
+        except Exception as e:
+            known = ("matrix must be finite", "row must have 63 elements", "a directed network needs n * n elements", "row must be -1, 0 or 1")
+            said.append((name, next((k for k in known if k in str(e)), str(e)[:80])))
+    return spark.createDataFrame(said, "name string, said string")
+
+
+def matrix_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wide to array, array to long."""
+    parts = read(spark, sf_dir, "part").select("p_partkey", "p_size", "p_retailprice")
+    return array_to_long(to_array(parts, ["p_partkey"], ["p_size", "p_retailprice"]), ["p_partkey"], "v").select("p_partkey", "dim", "value")
+
+
 NAMES = """
 connection_counts n_connections connection_indices connection_indices_diagonal connection_names fold_directed fold_directed_array
 network_to_vector normalize_networks scale_networks center_points center_points_by_group center_embeddings mean_ci quantiles outlier_ci
 group_stats_welch group_stats_wilcoxon group_stats normal_quantile lookback_sum lookback_mean lookback_linear lookback_segments
-lookback_per_unit ema ema_segments trajectory_fit trajectory_fit_quadratic trajectory_search trajectory_eval trajectory_derivatives
-polynomial_design trajectory_distance trajectory_lagged trajectory_pairwise turn_lag turn_lag_sweep dist_dist soft_threshold
-lasso_contribution gram_matrix svd_spectrum checked_points
+lookback_returning_runs lookback_per_unit ema ema_segments trajectory_fit trajectory_fit_quadratic trajectory_search
+trajectory_search_aic trajectory_eval trajectory_derivatives polynomial_design orthogonal_design trajectory_distance trajectory_lagged trajectory_pairwise turn_lag turn_lag_sweep dist_dist soft_threshold
+lasso_contribution total_order gram_matrix svd_spectrum tall_qr tall_svd least_squares inverse_gram checked_points rejected_inputs
+matrix_forms network_to_vector_array
 """.split()
 
 
