@@ -1,11 +1,12 @@
 """Toxicity by maximum-scoring segments (operator 2).
 
 Learning (a bounded, documented sample of labelled rows: the `sample` ids of
-least hash; half of them, by another hash, for the lexicon, half to calibrate):
-each token's log-odds between toxic and clean texts under a Dirichlet prior
+least hash; half of their texts, by the text's hash, for the lexicon, half to
+calibrate; a text that several of them share counts once, as toxic if one label
+says so): each token's log-odds between toxic and clean texts under a Dirichlet prior
 whose pseudo-counts follow the token's share of all texts.  Words count
 by themselves and by their first letters, so that rare forms of a stem count
-together; copies of a text count once.  Forms whose log-odds lie `z` standard
+together.  Forms whose log-odds lie `z` standard
 errors from 0 are the lexicon; a token scores as the higher of its forms, and
 every other token costs `cost`.  Then the expected score of a token of clean text is negative, so
 the best segment of clean text follows an extreme-value law, with lambda from
@@ -18,7 +19,11 @@ x = lambda * s - ln(K * n).  Positive x are summed over a text, and a logistic
 curve fitted on the calibration half gives the probability.
 
 The lexicon and the curve are the only data sent to executors; the lexicon has
-at most `sample` * 1000 tokens and in fact those seen in `least` texts.
+at most `sample` * 1000 tokens and in fact those seen in `least` texts.  The
+driver receives tokens seen in `least` texts, how often each score was drawn,
+and two numbers for each calibration text.  Nothing depends on the order or the
+partitioning of rows: counts are whole numbers, and sums of fractions are exact
+(fsum).
 
 Null and empty texts score as texts without evidence.  Labels that are null are
 left out; of contradicting labels the largest counts.  Without any label of
@@ -35,10 +40,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.common import id_crc, map_arrow
+from weft.llm.common import id_crc, map_arrow, named, written
 from weft.llm.words import pieces
 
 SAMPLE, LEAST, Z, COST, PRIOR = 20_000, 5, 3.0, 0.1, 200.0
@@ -103,7 +108,7 @@ def karlin(scores: list[tuple[float, float]]) -> float:
     top = max(s for _, s in scores)
 
     def f(x: float) -> float:
-        return sum(p * math.exp(min(x * s, 700)) for p, s in scores) - 1
+        return math.fsum(p * math.exp(min(x * s, 700)) for p, s in scores) - 1
 
     low, high = 1e-6, 1e-3
     while f(high) < 0 and high * top < 600:
@@ -157,56 +162,69 @@ def scored(words: list[str], lexicon: dict[str, float]) -> tuple[list[int], list
     return at, scores
 
 
+def half_of(text: Column) -> Column:
+    """Which half of the sample a text is in: 0 for the lexicon, 1 to calibrate."""
+    return F.pmod(F.xxhash64(text, F.lit(7)), F.lit(2)).cast("int")
+
+
 def learn(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, least: int = LEAST, z: float = Z, cost: float = COST, prior: float = PRIOR) -> Model:
     """labels: the rows that may be learnt from (id_col, label_col)."""
-    known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).cast("int").alias("y"))
-    chosen = known.orderBy(F.xxhash64("__id"), "__id").limit(sample).withColumn("half", F.pmod(F.xxhash64("__id", F.lit(7)), F.lit(2)).cast("int"))
-    rows = df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text"))
-    picked = rows.join(F.broadcast(chosen), "__id").select("text", "y", "half").dropDuplicates(["text"])
+    known = labels.where(named(id_col).isNotNull() & named(label_col).isNotNull()).groupBy(named(id_col).alias("__id")).agg(F.max(named(label_col)).cast("int").alias("y"))
+    chosen = known.orderBy(F.xxhash64("__id"), "__id").limit(sample)
+    rows = df.select(named(id_col).alias("__id"), named(text_col).alias("text"))
+    texts = rows.join(F.broadcast(chosen), "__id").groupBy("text").agg(F.max("y").alias("y"))
+    picked = written(texts.select("text", "y", half_of(F.col("text")).alias("half")))
 
     def count(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for a, b in pieces(batch.column(0)):
-            seen: dict[tuple[int, int], Counter] = {}
-            for text, y, half in zip(*(c.slice(a, b - a).to_pylist() for c in batch.columns), strict=True):
+            seen: dict[int, Counter] = {}
+            for text, y in zip(*(c.slice(a, b - a).to_pylist() for c in batch.columns), strict=True):
                 words = set(tokens_of(text))
                 own = words | {stem(w) for w in words if len(w) > STEM} | {""}  # "" counts the texts
-                seen.setdefault((y, half), Counter()).update(own)
-            for (y, half), c in seen.items():
-                n = len(c)
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array([y] * n, pa.int32()), pa.array([half] * n, pa.int32()), pa.array(list(c.values()), pa.int64())], ["token", "y", "half", "n"])
+                seen.setdefault(y, Counter()).update(own)
+            for y, c in seen.items():
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array([y] * len(c), pa.int32()), pa.array(list(c.values()), pa.int64())], ["token", "y", "n"])
 
-    counted = map_arrow(picked, count, "token string, y int, half int, n bigint").where("half = 0").groupBy("token").agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("y1"), F.sum(F.when(F.col("y") == 1, 0).otherwise(F.col("n"))).alias("y0"))
+    counted = map_arrow(picked.where("half = 0").select("text", "y"), count, "token string, y int, n bigint").groupBy("token").agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("y1"), F.sum(F.when(F.col("y") == 1, 0).otherwise(F.col("n"))).alias("y0"))
     got = counted.where(f"y1 + y0 >= {least} or token = ''").collect()
     n1, n0 = next(((r["y1"], r["y0"]) for r in got if r["token"] == ""), (0, 0))
     if not n1 or not n0:
         return Model()
     m = Model(log_odds([(r["token"], r["y1"], r["y0"]) for r in got if r["token"]], n1, n0, z, prior), cost)
-    held = df.sparkSession.sparkContext.broadcast(m)
+    low = min([s for s in m.lexicon.values() if s > 0], default=1.0)
+    rest = picked.where("half = 1")
+    context = df.sparkSession.sparkContext
+    lexicon = context.broadcast(m.lexicon)
+
+    def draw(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        """Of clean texts: how often each score occurs; under null, the tokens;
+        under infinity, the segments of at least the least positive score."""
+        drawn: Counter = Counter()
+        for a, b in pieces(batch.column(0)):
+            for text in batch.column(0).slice(a, b - a).to_pylist():
+                words = tokens_of(text)
+                at, scores = scored(words, lexicon.value)
+                drawn.update(scores)
+                drawn[None] += len(words)
+                drawn[math.inf] += sum(s >= low for *_, s in maximal(at, scores, cost))
+        yield pa.RecordBatch.from_arrays([pa.array(list(drawn), pa.float64()), pa.array(list(drawn.values()), pa.int64())], ["score", "n"])
+
+    drawn = {r["score"]: r["n"] for r in map_arrow(rest.where("y <> 1").select("text"), draw, "score double, n bigint").groupBy("score").agg(F.sum("n").alias("n")).collect()}
+    total, found = drawn.pop(None, 0), drawn.pop(math.inf, 0)
+    if total:
+        rare = [(0.5 / total, s) for s in sorted({s for s in m.lexicon.values() if s > 0} - set(drawn))]
+        probs = [(c / total, s) for s, c in sorted(drawn.items())] + rare
+        m.lam = karlin([*probs, (max(0.0, 1 - math.fsum(p for p, _ in probs)), -cost)])
+        m.k = (found + 0.5) / (total * math.exp(-m.lam * low))
+    held = context.broadcast(m)
 
     def calibrate(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for a, b in pieces(batch.column(0)):
-            out = []
-            for text, y, half in zip(*(c.slice(a, b - a).to_pylist() for c in batch.columns), strict=True):
-                if half == 1:
-                    words = tokens_of(text)
-                    at, scores = scored(words, held.value.lexicon)
-                    out.append((y, len(words), sorted((s for *_, s in maximal(at, scores, cost)), reverse=True), scores))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64())), strict=True)], ["y", "n", "segments", "scores"])
-
-    seen = map_arrow(picked, calibrate, "y int, n bigint, segments array<double>, scores array<double>").collect()
-    clean = [r for r in seen if r["y"] != 1]
-    total = sum(r["n"] for r in clean)
-    if total:
-        drawn = Counter(round(s, 6) for r in clean for s in r["scores"])
-        rare = [(0.5 / total, s) for s in m.lexicon.values() if s > 0 and round(s, 6) not in drawn]
-        probs = [(c / total, s) for s, c in drawn.items()] + rare
-        m.lam = karlin([*probs, (max(0.0, 1 - sum(p for p, _ in probs)), -cost)])
-        found = [s for r in clean for s in r["segments"]]
-        low = min([s for s in m.lexicon.values() if s > 0], default=1.0)
-        m.k = (sum(s >= low for s in found) + 0.5) / (total * math.exp(-m.lam * low))
-    rows = [(sum(x for x in evidence([(0, 0, s) for s in r["segments"]], r["n"], m) if x > 0), int(r["y"] == 1)) for r in seen]
-    m.bias, m.slope = logistic(rows) if {y for _, y in rows} == {0, 1} else (m.bias, m.slope)
+            sums = [probability(text, held.value)[1] for text in batch.column(0).slice(a, b - a).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(sums, pa.float64()), batch.column(1).slice(a, b - a)], ["x", "y"])
+
+    points = sorted((r["x"], int(r["y"] == 1)) for r in map_arrow(rest.select("text", "y"), calibrate, "x double, y int").collect())
+    m.bias, m.slope = logistic(points) if {y for _, y in points} == {0, 1} else (m.bias, m.slope)
     return m
 
 
@@ -215,7 +233,7 @@ def probability(text: str | None, m: Model) -> tuple[float, float, list[tuple[tu
     words = tokens_of(text)
     segments = maximal(*scored(words, m.lexicon), m.cost)
     facts = [(s, x) for s, x in zip(segments, evidence(segments, len(words), m), strict=True) if x > 0]
-    total = sum(x for _, x in facts)
+    total = math.fsum(x for _, x in facts)
     return 1 / (1 + math.exp(-max(-30.0, min(30.0, m.bias + m.slope * total)))), total, facts
 
 
@@ -240,7 +258,7 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
                 [id_col, "score", "evidence", "passages"],
             )
 
-    return map_arrow(df.select(id_col, text_col), each, f"`{id_col}` {kind}, score double, evidence double, passages array<struct<first_token: bigint, end_token: bigint, expected: double>>")
+    return map_arrow(df.select(named(id_col).alias("id"), named(text_col).alias("text")), each, f"`{id_col}` {kind}, score double, evidence double, passages array<struct<first_token: bigint, end_token: bigint, expected: double>>")
 
 
 def keep(df: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
@@ -260,4 +278,4 @@ def keep(df: DataFrame, model: Model, text_col: str = "text", threshold: float =
 
 def training(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The labelled rows that may be learnt from: crc32 of the id mod 5 is not 0."""
-    return labels.where(id_crc(F.col(id_col)) % 5 != 0)
+    return labels.where(id_crc(named(id_col)) % 5 != 0)
