@@ -28,11 +28,12 @@ def running(lengths: Column) -> Column:
     return F.when(F.size(lengths) > 0, moved).otherwise(F.array().cast("array<bigint>"))
 
 
-def spans(text: Column, pattern: Column) -> Column:
+def spans(text: Column, pattern: Column, hits: Column | None = None) -> Column:
     """array<struct<start, end: bigint, text: string>> of the leftmost matches
     that don't overlap, in code points, end exclusive.  Matches and the pieces
-    between them alternate, so their lengths add up to every position."""
-    hits = F.regexp_extract_all(text, pattern, F.lit(0))
+    between them alternate, so their lengths add up to every position.  hits are
+    the matches' texts, if they are known."""
+    hits = F.regexp_extract_all(text, pattern, F.lit(0)) if hits is None else hits
     gaps = F.split(text, pattern, -1)
     both = F.zip_with(hits, F.slice(gaps, F.lit(1), F.size(hits)), lambda h, g: F.struct(h.alias("text"), F.char_length(h).cast("bigint").alias("n"), (F.char_length(g) + F.char_length(h)).cast("bigint").alias("step")))
     made = F.zip_with(both, running(F.transform(both, lambda x: x["step"])), lambda x, end: F.struct((end - x["n"]).alias("start"), end.alias("end"), x["text"].alias("text")))
