@@ -3,14 +3,17 @@
 Ranks are turned into a model of the tokenizers library: bytes become the
 printable characters of the usual byte table, and every split of a token into
 two tokens becomes a merge of that token's rank.  Pieces of the split pattern
-are encoded once per Python worker and remembered; each new piece is held
-against the rank rule itself (tiktoken), because two merges that make one token
-have no order of their own in a merge list.  Ids leave as Arrow lists; decoding
-gathers token bytes through the reversed table.  No shuffle takes place.
+are encoded by the library, once per Python worker, and remembered; its ids and,
+where asked for, its offsets are the result.  A merge list cannot order two
+merges that make one token; where they overlap (s1 s2 s3 with s1 s2 = s2 s3, in
+strings that repeat themselves) the leftmost goes first by the ranks' rule, and
+the rare pieces that hold such a string are encoded by tiktoken.  Ids leave as
+Arrow lists; decoding gathers token bytes through the reversed table.  No shuffle
+takes place.
 
 Null texts encode as empty ones, and empty texts as no ids.  Ids that are not in
-the vocabulary raise an error on decoding.  Repeated rows are encoded alike, and
-columns other than the two named are not read.
+the vocabulary raise an error on decoding.  Repeated rows are encoded alike.
+Columns are taken by place, whatever their names, and those not named are not read.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.common import lists, map_arrow
+from weft.llm.common import lists, map_arrow, named
 from weft.llm.words import pieces as row_ranges
 
 #: Pieces that one Python worker remembers; beyond it, memory starts anew.
@@ -66,10 +69,23 @@ def model(ranks: dict[bytes, int]):
     return made
 
 
+def ties(ranks: dict[bytes, int]) -> list[bytes]:
+    """The strings s1 s2 s3 in which two different merges make one token."""
+    out = set()
+    for token in ranks:
+        for n in range(1, len(token)):
+            s1, s2, s3 = token[:-n], token[-n:], token[n:]
+            if token[:n] == s2 and s1 != s2 and {s1, s2, s3} <= ranks.keys():
+                out.add(s1 + s2 + s3)
+    return sorted(out)
+
+
 class Pieces(dict):
-    """piece -> its ids as packed int32."""
+    """piece -> its ids as packed int32; places has their first characters and
+    ends in the piece, where offsets are asked for."""
 
     def __init__(self, data: bytes, pattern: str):
+        import ahocorasick
         import regex
         import tiktoken
 
@@ -77,17 +93,32 @@ class Pieces(dict):
         self.split = regex.compile(pattern).findall
         self.tokenizer = model(ranks)
         self.exact = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.corrected = 0
-
-    def learn(self, own: set[str]) -> None:
+        self.tied = ahocorasick.Automaton()
+        for t in ties(ranks):
+            self.tied.add_word(t.decode("latin-1"), True)
+        if len(self.tied):
+            self.tied.make_automaton()
+        self.width = token_bytes(data)[2]
+        self.places: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        self.by_rank = 0
+
+    def has_tie(self, piece: str) -> bool:
+        return len(self.tied) > 0 and next(self.tied.iter(piece.encode().decode("latin-1")), None) is not None
+
+    def learn(self, own: set[str], offsets: bool = False) -> None:
         if len(self) + len(own) > REMEMBERED:
             self.clear()
-        order = [p for p in own if p not in self]
+            self.places.clear()
+        order = [p for p in own if p not in (self.places if offsets else self)]
         for piece, got in zip(order, self.tokenizer.encode_batch(order, add_special_tokens=False), strict=True):
-            ids = got.ids
-            if len(ids) > 1 and ids != (right := self.exact._encode_single_piece(piece)):
-                ids, self.corrected = right, self.corrected + 1
-            self[piece] = np.array(ids, np.int32).tobytes()
+            ids, tied = got.ids, len(got.ids) > 1 and self.has_tie(piece)
+            if tied:
+                ids, self.by_rank = self.exact._encode_single_piece(piece), self.by_rank + 1
+            packed = np.array(ids, np.int32)
+            self[piece] = packed.tobytes()
+            if offsets:
+                at = np.array(got.offsets, np.int32).reshape(-1, 2)
+                self.places[piece] = char_spans(piece, self.width[packed]) if tied else (at[:, 0], at[:, 1])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out = []
@@ -100,6 +131,20 @@ class Pieces(dict):
                 out.append(b"".join(map(self.__getitem__, own)))
         return out
 
+    def spans(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """First character and end (exclusive) of a text's tokens; a token of part
+        of a character covers that character."""
+        own = self.split(text)
+        if any(p not in self.places for p in own):
+            self.learn(set(own), offsets=True)
+        starts, ends, at = [np.empty(0, np.int32)], [np.empty(0, np.int32)], 0
+        for p in own:
+            a, b = self.places[p]
+            starts.append(a + at)
+            ends.append(b + at)
+            at += len(p)
+        return np.concatenate(starts), np.concatenate(ends)
+
 
 @functools.lru_cache(maxsize=2)
 def pieces_of(data: bytes, pattern: str) -> Pieces:
@@ -139,6 +184,13 @@ def char_spans(text: str, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.maximum(begins[np.minimum(ends - lengths + 1, len(raw))] - 1, 0), begins[ends]
 
 
+def _taken(df: DataFrame, *names: str) -> tuple[DataFrame, list[str], str]:
+    """The columns of those names as c0, c1, ..., and all but c1 as a schema."""
+    plain = df.select(*[named(c).alias(f"c{i}") for i, c in enumerate(names)])
+    kept = [f"c{i}" for i in range(len(names)) if i != 1]
+    return plain, kept, ", ".join(f"{c} {plain.schema[c].dataType.simpleString()}" for c in kept)
+
+
 def encode(df: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", offsets: bool = False, extra: tuple[str, ...] = ()) -> DataFrame:
     """(id_col, extra columns, ids array<int>), one row per row of df; with
     offsets also starts and ends array<int>, in characters of the text.
@@ -157,14 +209,13 @@ def encode(df: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id",
             bounds = np.concatenate(([0], np.cumsum([len(c) // 4 for c in coded])))
             columns = [batch.column(0).slice(a, b - a), *[c.slice(a, b - a) for c in batch.columns[2:]], lists(pa.array(flat), bounds)]
             if offsets:
-                width = token_bytes(held.value)[2]
-                spans = [char_spans(t, width[flat[s:e]]) for t, s, e in zip(texts, bounds, bounds[1:], strict=False)]
+                spans = [known.spans(t) for t in texts]
                 columns += [lists(pa.array(np.concatenate([x[k] for x in spans]).astype(np.int32)), bounds) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays(columns, names)
+            yield pa.RecordBatch.from_arrays(columns, [*kept, *made])
 
-    names = [id_col, *extra, "ids", *(["starts", "ends"] if offsets else [])]
-    schema = _columns(df, id_col, *extra) + ", ids array<int>" + (", starts array<int>, ends array<int>" if offsets else "")
-    return map_arrow(df.select(id_col, text_col, *extra), each, schema)
+    plain, kept, schema = _taken(df, id_col, text_col, *extra)
+    made = ["ids", *(["starts", "ends"] if offsets else [])]
+    return map_arrow(plain, each, ", ".join([schema, *[f"{m} array<int>" for m in made]])).toDF(id_col, *extra, *made)
 
 
 def _decoded(ids: np.ndarray, sizes: np.ndarray, data: bytes) -> pa.Array:
@@ -186,13 +237,10 @@ def round_trip(df: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_
             flat = np.frombuffer(b"".join(coded), np.int32)
             sizes = np.array([len(c) // 4 for c in coded])
             columns = [batch.column(0).slice(a, b - a), *[c.slice(a, b - a) for c in batch.columns[2:]]]
-            yield pa.RecordBatch.from_arrays([*columns, lists(pa.array(flat), np.concatenate(([0], np.cumsum(sizes)))), _decoded(flat, sizes, held.value)], [id_col, *extra, "ids", "decoded"])
-
-    return map_arrow(df.select(id_col, text_col, *extra), each, _columns(df, id_col, *extra) + ", ids array<int>, decoded binary")
-
+            yield pa.RecordBatch.from_arrays([*columns, lists(pa.array(flat), np.concatenate(([0], np.cumsum(sizes)))), _decoded(flat, sizes, held.value)], [*kept, "ids", "decoded"])
 
-def _columns(df: DataFrame, *names: str) -> str:
-    return ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in names)
+    plain, kept, schema = _taken(df, id_col, text_col, *extra)
+    return map_arrow(plain, each, schema + ", ids array<int>, decoded binary").toDF(id_col, *extra, "ids", "decoded")
 
 
 def decode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_col: str = "ids", extra: tuple[str, ...] = ()) -> DataFrame:
@@ -208,9 +256,10 @@ def decode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_col: str
             part = whole.slice(a, step)
             sizes = np.array([len(x) if x.is_valid else 0 for x in part], np.int64)
             decoded = _decoded(part.flatten().to_numpy(), sizes, held.value)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, step), *[c.slice(a, step) for c in batch.columns[2:]], part, decoded], [id_col, *extra, ids_col, "decoded"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, step), *[c.slice(a, step) for c in batch.columns[2:]], part, decoded], [*kept, "ids", "decoded"])
 
-    return map_arrow(df.select(id_col, ids_col, *extra), each, _columns(df, id_col, *extra) + f", `{ids_col}` array<int>, decoded binary")
+    plain, kept, schema = _taken(df, id_col, ids_col, *extra)
+    return map_arrow(plain, each, schema + ", ids array<int>, decoded binary").toDF(id_col, *extra, ids_col, "decoded")
 
 
 def digests(coded: DataFrame, id_col: str = "doc_id") -> DataFrame:
