@@ -10,12 +10,16 @@ bound are verified by banded alignment.
 
 The benchmark goes to the executors in blocks of at most about BLOCK_BYTES, one
 pass over the texts for each; the texts are not shuffled, only found places are.
-Bytes are handled in slices, so memory follows the longest text.
+Texts are handled in slices and so are the places in items that their q-grams
+point to (EXPANDED at a time, then summed by band), so memory follows the longest
+text, also where texts and items repeat themselves.
 
 Null and empty texts contain nothing; null items and items of fewer than
-`least` bytes are not searched, because they say nothing about their source.
-Equal items are found each by their own id.  Rows that share an id share what is
-found; null ids are an id of their own.
+`least` bytes (a q-gram at least) are not searched, because they say nothing
+about their source.  Equal items are found each by their own id, of any type.
+Rows that share an id share what is found; null ids are an id of their own.
+Columns are taken by place, so that no name can clash.  An empty benchmark finds
+nothing.
 """
 
 from __future__ import annotations
@@ -28,12 +32,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from weft.llm.common import few, map_arrow, named, written
-from weft.llm.words import FOLD, SPACE, U, mix, pieces
+from weft.llm.words import FOLD, SPACE, U, pieces
 
-Q, RATE, LEAST, BLOCK_BYTES = 12, 0.05, 24, 8 << 20
+Q, RATE, LEAST, BLOCK_BYTES = 12, 0.05, 12, 4 << 20
 TABLE_BITS = 22
+#: Runs of places in items that are held at a time.
+EXPANDED = 1 << 17
 PLAIN = np.where(SPACE, np.uint8(0x20), FOLD)
 
 
@@ -54,16 +61,17 @@ def slots(hashes: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Index:
-    """The q-grams of a block of items."""
+    """The q-grams of a block of items, each with its runs of neighbouring places."""
 
     items: list[bytes]
     edits: np.ndarray
     bound: np.ndarray  # q-grams that an occurrence shares at least
     table: np.ndarray  # by slot: whether a q-gram may be there
     keys: np.ndarray
-    begin: np.ndarray  # of each key's postings, and the end
+    begin: np.ndarray  # of each key's runs, and the end
     item: np.ndarray
-    offset: np.ndarray
+    offset: np.ndarray  # of a run's first place
+    length: np.ndarray
 
 
 def index(items: list[bytes], rate: float) -> Index:
@@ -73,11 +81,14 @@ def index(items: list[bytes], rate: float) -> Index:
     item = np.repeat(np.arange(len(items)), n)
     offset = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
     order = np.argsort(flat, kind="stable")
-    keys, first = np.unique(flat[order], return_index=True)
+    flat, item, offset = flat[order], item[order], offset[order]
+    fresh = np.concatenate(([True], (flat[1:] != flat[:-1]) | (item[1:] != item[:-1]) | (offset[1:] != offset[:-1] + 1)))
+    first = np.flatnonzero(fresh)
+    keys, begin = np.unique(flat[first], return_index=True)
     table = np.zeros(1 << TABLE_BITS, bool)
     table[slots(keys)] = True
     edits = np.array([min(int(rate * len(x)), (len(x) - Q) // Q) for x in items])
-    return Index(items, edits, n - edits * Q, table, keys, np.append(first, len(flat)), item[order], offset[order])
+    return Index(items, edits, n - edits * Q, table, keys, np.append(begin, len(first)), item[first], offset[first], np.diff(np.append(first, len(flat))))
 
 
 def align(item: np.ndarray, text: np.ndarray, low: int, high: int) -> tuple[int, int, int]:
@@ -127,20 +138,10 @@ def occurrences(texts: pa.Array, ix: Index) -> Iterator[tuple[int, int, int, int
     at, place, row = at[enough], place[enough], row[enough]
     if not len(at):
         return
-    n = ix.begin[place + 1] - ix.begin[place]
-    posting = np.repeat(ix.begin[place] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-    row, at = np.repeat(row, n), np.repeat(at, n)
-    item = ix.item[posting]
-    diagonal = at - rows[row] - ix.offset[posting]
-    step = ix.edits[item] + 1
     for shift in (0, 1):
-        band = (diagonal + shift * step) // (2 * step)
-        key = mix(mix(mix(row.astype(U)) + item.astype(U)) + band.astype(np.int64).view(U))
-        _, first, counts = np.unique(key, return_index=True, return_counts=True)
-        found = first[counts >= ix.bound[item[first]]]
-        for f in found[np.lexsort((band[found], item[found], row[found]))].tolist():
-            r, i, k = int(row[f]), int(item[f]), int(ix.edits[item[f]])
-            text, low = data[rows[r] : rows[r + 1]], (2 * int(band[f]) - shift) * (k + 1)
+        for r, i, band in bands(row, place, at - rows[row], ix, shift):
+            k = int(ix.edits[i])
+            text, low = data[rows[r] : rows[r + 1]], (2 * band - shift) * (k + 1)
             a, b = max(0, low - k), low + 2 * (k + 1) + len(ix.items[i]) + k
             exact = text[a:b].tobytes().find(ix.items[i])
             if exact >= 0:
@@ -151,6 +152,44 @@ def occurrences(texts: pa.Array, ix: Index) -> Iterator[tuple[int, int, int, int
                 yield r, i, start, end, edits
 
 
+def bands(row: np.ndarray, place: np.ndarray, offset: np.ndarray, ix: Index, shift: int) -> list[tuple[int, int, int]]:
+    """(row, item, band) whose q-grams meet the item's bound, by row, item and
+    place; the q-grams stand at offset in their rows and are ix.keys[place].  A
+    run of an item's places is counted by the bands that its diagonals cover."""
+    ends = np.cumsum(ix.begin[place + 1] - ix.begin[place])
+    held: list[np.ndarray] = []  # columns: row, item, band, count
+    size = begin = 0
+    while begin < len(place):
+        end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + EXPANDED, "right")))
+        at = place[begin:end]
+        m = ix.begin[at + 1] - ix.begin[at]
+        run = np.repeat(ix.begin[at] - (np.cumsum(m) - m), m) + np.arange(m.sum())
+        wide = 2 * (ix.edits[ix.item[run]] + 1)
+        high = np.repeat(offset[begin:end], m) - ix.offset[run] + shift * wide // 2
+        low = high - ix.length[run] + 1
+        first = low // wide
+        k = high // wide - first + 1
+        each = np.repeat(np.arange(len(run)), k)
+        band = first[each] + np.arange(len(each)) - np.repeat(np.cumsum(k) - k, k)
+        count = np.minimum(high[each], (band + 1) * wide[each] - 1) - np.maximum(low[each], band * wide[each]) + 1
+        held.append(_summed(np.stack((np.repeat(row[begin:end], m)[each], ix.item[run][each], band, count)), len(ix.items)))
+        size += held[-1].shape[1]
+        if size > 4 * EXPANDED and len(held) > 1:
+            held = [_summed(np.concatenate(held, axis=1), len(ix.items))]
+            size = held[0].shape[1]
+        begin = end
+    found = _summed(np.concatenate(held, axis=1), len(ix.items))
+    return [tuple(x) for x in found[:3, found[3] >= ix.bound[found[1]]].T.tolist()]
+
+
+def _summed(rows: np.ndarray, items: int) -> np.ndarray:
+    """Columns (row, item, band, count): counts of equal ones summed, in order."""
+    least = rows[2].min()
+    code = (rows[0] * items + rows[1]) * (rows[2].max() - least + 1) + rows[2] - least
+    _, first, group = np.unique(code, return_index=True, return_inverse=True)
+    return np.concatenate((rows[:3, first], np.bincount(group, rows[3]).astype(np.int64)[None]))
+
+
 @functools.lru_cache(maxsize=1)
 def _index(items: tuple[bytes, ...], rate: float) -> Index:
     return index(list(items), rate)
@@ -160,12 +199,12 @@ def find(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col:
     """Rows (id_col, item_id, start, end, edits): places in characters, end
     exclusive, of each item's occurrences in each text."""
     spark = df.sparkSession
-    items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text")).where(F.octet_length("text") >= max(least, Q)).distinct()
+    items = benchmark.select(named(item_col).alias("item"), named(item_text_col).alias("text")).where(F.octet_length("text") >= max(least, Q)).distinct()
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
     kind, item_kind = df.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, item_id {item_kind}, start bigint, end bigint, edits bigint"
-    item_type = pa.int64() if item_kind == "bigint" else pa.int32() if item_kind == "int" else pa.string()
+    item_type = to_arrow_type(benchmark.schema[item_col].dataType)
     passes = []
     for block in range(blocks):
         own = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block).collect()
@@ -178,10 +217,11 @@ def find(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col:
             ix = _index(texts, rate)
             for a, b in pieces(batch.column(1)):
                 part = batch.column(1).slice(a, b - a)
-                seen, out = set(), []
+                seen, out, last = set(), [], -1
                 for r, i, start, end, edits in occurrences(part, ix):
-                    raw = np.frombuffer((part[r].as_py() or "").encode(), np.uint8)
-                    lead = np.cumsum(np.concatenate(([0], (raw & 0xC0) != 0x80)))
+                    if r != last:
+                        raw = np.frombuffer((part[r].as_py() or "").encode(), np.uint8)
+                        lead, last = np.cumsum(np.concatenate(([0], (raw & 0xC0) != 0x80))), r
                     span = (r, i, int(lead[start]), int(lead[end]))
                     if span not in seen:
                         seen.add(span)
@@ -193,7 +233,7 @@ def find(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col:
                         [id_col, "item_id", "start", "end", "edits"],
                     )
 
-        passes.append(map_arrow(df.select(id_col, text_col), each, schema))
+        passes.append(map_arrow(df.select(named(id_col).alias("id"), named(text_col).alias("text")), each, schema))
     if not passes:
         return spark.createDataFrame([], schema)
     return functools.reduce(DataFrame.union, passes)
@@ -201,15 +241,16 @@ def find(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col:
 
 def by_document(df: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """One row per row of df: (id_col, contaminated, hits array by item and place)."""
-    hits = found.groupBy(F.col(id_col).alias("__id")).agg(F.array_sort(F.collect_set(F.struct("item_id", "start", "end", "edits"))).alias("hits"))
-    out = df.select(id_col).join(hits, F.col(id_col).eqNullSafe(F.col("__id")), "left")
+    hits = found.groupBy(named(id_col).alias("__id")).agg(F.array_sort(F.collect_set(F.struct("item_id", "start", "end", "edits"))).alias("hits"))
+    out = df.select(named(id_col).alias("id")).join(hits, F.col("id").eqNullSafe(F.col("__id")), "left")
     none = F.array().cast(hits.schema["hits"].dataType)
-    return out.select(id_col, F.col("hits").isNotNull().alias("contaminated"), F.coalesce("hits", none).alias("hits"))
+    return out.select(F.col("id").alias(id_col), F.col("hits").isNotNull().alias("contaminated"), F.coalesce("hits", none).alias("hits"))
 
 
 def keep_clean(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of df, all columns, in whose text no item occurs; of rows that
     share an id, all go if one does."""
-    gone = written(find(df, benchmark, id_col, text_col, **options).select(F.col(id_col).alias("__gone")).distinct())
-    out = df.join(few(gone), F.col(id_col).eqNullSafe(F.col("__gone")), "left_anti")
-    return out.select(*[named(c) for c in df.columns])
+    gone = written(find(df, benchmark, id_col, text_col, **options).select(named(id_col).alias("gone")).distinct())
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    own = F.col(f"c{df.columns.index(id_col)}")
+    return plain.join(few(gone), own.eqNullSafe(F.col("gone")), "left_anti").toDF(*df.columns)
