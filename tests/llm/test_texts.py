@@ -14,6 +14,7 @@ import tiktoken
 from weft.llm import bpe, decontaminate, quality, suffix_tree, toxicity
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 AWKWARD = [(None, "null id"), (1, None), (2, ""), (3, "Same text, twice."), (3, "Same text, twice."), (4, "é😀 漢字\x85  x  \n\n y'll DON'T 12345 \t"), (5, "word " * 20_000), (6, "\n \t "), (7, "a" * 3000)]
 
@@ -57,11 +58,31 @@ def test_bpe_random(spark):
         assert np.frombuffer(pieces.encode([text])[0], np.int32).tolist() == exact.encode_ordinary(text)
 
 
+def test_bpe_library_follows_the_ranks():
+    """The library's own ids, on strings of vocabulary tokens: only pieces that
+    hold a tie of merges may need the ranks."""
+    with open(RANKS, "rb") as f:
+        data = f.read()
+    pieces, rng = bpe.pieces_of(data, public_tokenizers.PATTERN), random.Random(3)
+    tokens = [t.decode() for t in bpe.read_ranks(data) if bpe.np.frombuffer(t, np.uint8).max() < 128 or t.decode(errors="ignore").encode() == t]
+    drawn = ["".join(rng.choice(tokens) for _ in range(rng.choice([2, 2, 3]))) for _ in range(120_000)] + [x * k for x in ("a", " ", "=", "-", "ha", "ab") for k in range(2, 60)]
+    got = pieces.tokenizer.encode_batch(drawn, add_special_tokens=False)
+    exact = pieces.exact
+    other = [p for p, g in zip(drawn, got, strict=True) if len(g.ids) > 1 and g.ids != exact._encode_single_piece(p)]
+    assert all(pieces.has_tie(p) for p in other) and sum(map(pieces.has_tie, drawn)) < 0.1 * len(drawn)
+
+
 def test_bpe_offsets(spark, docs):
-    text = "é😀 漢字 abc"
-    r = bpe.encode(docs([(1, text)]), RANKS, public_tokenizers.PATTERN, offsets=True).first()
-    spans = coder().decode_with_offsets(r["ids"])[1]
-    assert r["starts"] == spans and all(a < b <= len(text) for a, b in zip(r["starts"], r["ends"], strict=True)) and r["ends"][-1] == len(text)
+    for text in ("é😀 漢字 abc", "x" * 40 + "   \n     y'll 漢", ""):
+        r = bpe.encode(docs([(1, text)]), RANKS, public_tokenizers.PATTERN, offsets=True).first()
+        spans = coder().decode_with_offsets(r["ids"])[1]
+        assert r["starts"] == spans and all(a < b <= len(text) for a, b in zip(r["starts"], r["ends"], strict=True)) and (r["ends"] or [0])[-1] == len(text)
+
+
+def test_bpe_columns_of_any_name(spark, docs):
+    df = docs([(1, "ab c"), (2, None)]).withColumnsRenamed({"doc_id": "d.i", "text": "t.x", "id": "decoded.x"})
+    r = bpe.round_trip(df, RANKS, public_tokenizers.PATTERN, "d.i", "t.x", extra=("decoded.x", "a.b"))
+    assert r.columns == ["d.i", "decoded.x", "a.b", "ids", "decoded"] and r.count() == 2
 
 
 def test_bpe_rejects_unknown_ids(spark):
@@ -91,68 +112,157 @@ def test_quality_rules(spark, docs):
     rows = [(i + 10, "".join(rng.choice(["a ", "b ", "#é ", "c\n", "\n", "d d d d d d d d "]) for _ in range(rng.randint(0, 80)))) for i in range(60)]
     rows += [*AWKWARD, (90, "x\ny\nx\n \n \nx")]
     texts = dict(rows)
-    got = quality.quality(docs(rows), RANKS, public_tokenizers.PATTERN).collect()
+    got = quality.quality(docs(rows), RANKS, public_tokenizers.PATTERN, PIECES).collect()
     assert len(got) == len(rows)
     for r in got:
         assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) == rules(texts[r["doc_id"]])
         assert not (r["base_failed"] and r["kept"])
 
 
-def test_fertility_verdict(spark, docs):
-    clean = "The committee will publish its annual report on the state of public libraries in the spring, and every member may comment before then. " * 1
-    clean += "Several readers asked for longer opening hours, while others preferred quieter rooms and a larger collection of local history."
-    junk = " ".join(f"q{i}x*{i}%z#" for i in range(60))
-    rows = {r["doc_id"]: r for r in quality.quality(docs([(1, clean), (2, junk)]), RANKS, public_tokenizers.PATTERN).collect()}
-    assert rows[1]["kept"] and rows[1]["chars_per_token"] > 3
-    assert not rows[2]["base_failed"] and not rows[2]["kept"]
+def naive_quality(rows):
+    """Operator 9's verdict over, text by text: {place: kept}."""
+    import sentencepiece
+
+    exact, cutter = coder(), sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    found = []
+    for lang, text in rows:
+        text = text or ""
+        ids, own = exact.encode(text, disallowed_special=()), cutter.encode(text)
+        shares = [n / len(ids) for n in Counter(ids).values()]
+        entropy = -sum(p * math.log(p) for p in shares) / math.log(min(len(ids), 4096)) if len(ids) > 1 else len(ids)
+        high = [c for c in text if ord(c) > 0x7F]
+        wide = sum(ord(c) > 0x7FF for c in high)
+        script = "wide" if 2 * wide > len(text) else "two-byte" if 2 * len(high) > len(text) else "latin"
+        facts = [len(text) / max(1, len(ids)), len(text) / max(1, len(own)), sum(map(cutter.is_byte, own)) / max(1, len(own)), entropy]
+        found.append((lang, script, rules(text)[-1], len(ids), tuple(facts)))
+    bands = {}
+    for by in (0, 1):
+        for name in {f[by] for f in found if f[by] is not None}:
+            figures = {f[4] for f in found if f[by] == name and not f[2] and f[3] >= 32}
+            if len(figures) >= quality.LEAST_TEXTS:
+                ends = []
+                for k in range(4):
+                    values = sorted(math.floor(x[k] * 1000 + 0.5) for x in figures)
+                    q1, q3 = (values[math.ceil(len(values) * q) - 1] for q in (0.25, 0.75))
+                    spread = 3 * max(1, q3 - q1)
+                    ends.append(((q1 - spread) / 1000, (q3 + spread) / 1000))
+                bands[by, name] = ends
+    kept = []
+    for lang, script, failed, n, facts in found:
+        d = quality.DEFAULT[script]
+        ends = bands.get((0, lang)) or bands.get((1, script)) or [(d.least, d.most), (d.piece_least, d.piece_most), (0, d.fallback), (d.entropy, 9)]
+        rounded = [math.floor(x * 1000 + 0.5) / 1000 for x in facts]
+        fits = all(low <= x for x, (low, _), k in zip(rounded, ends, range(4), strict=True) if k != 2) and all(x <= high for x, (_, high), k in zip(rounded, ends, range(4), strict=True) if k != 3)
+        kept.append(not failed and (fits or n < 32))
+    return kept
+
+
+def test_quality_by_brute_force(spark):
+    rng = random.Random(22)
+    vocabulary = {"en": "the of and committee report public library people there house water young little found great".split(), "de": "der die das und nicht haus wasser straße über größe menschen bücher jahr viele".split()}
+    rows = []
+    for i in range(330):
+        lang = ["en", "de", None, "xx"][0 if i < 150 else 1 if i < 290 else 2 if i < 310 else 3]
+        words = vocabulary[lang or "en"] if lang != "xx" else vocabulary["de"]
+        own = [rng.choice(words) + (f"{rng.randrange(10**6)}" if i % 19 == 0 else "") for _ in range(rng.randint(20, 90))]
+        text = " ".join(own) if i % 23 else "".join(rng.choice("漢字仮名交文章語言") for _ in range(60)) + " a" * 25
+        rows.append((i, lang, text.upper() if i % 17 == 0 else text))
+    rows += [(400, "en", None), (401, "en", ""), (3, *rows[3][1:]), (None, "en", rows[4][2])]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    want = naive_quality([r[1:] for r in rows])
+    got = quality.quality(df, RANKS, public_tokenizers.PATTERN, PIECES).collect()
+    assert Counter((r["doc_id"], r["kept"]) for r in got) == Counter((r[0], k) for r, k in zip(rows, want, strict=True))
+    assert 150 < sum(want) < len(rows) - 20 and {r["band"] for r in got} == {"en", "de", "latin", "wide"} or {r["band"] for r in got} >= {"en", "de", "latin"}
+    assert quality.quality(df.where("false"), RANKS, public_tokenizers.PATTERN, PIECES).count() == 0
 
 
 # --- 7 ---------------------------------------------------------------------------
 
 
+def naive_tree(texts):
+    """P(word | words before) by operator 7's definition, on plain counters."""
+    tokens = [[*WORD.findall(fold(t)), "\0end"] for t in texts]
+    ones, twos, threes = Counter(), Counter(), Counter()
+    for t in tokens:
+        ones.update(t)
+        twos.update(zip(t, t[1:], strict=False))
+        threes.update(zip(t, t[1:], t[2:], strict=False))
+    total, distinct = sum(ones.values()), len(ones)
+    root = lambda w: (ones[w] + 1) / (total + distinct + 1)
+
+    def states(events, whole, before):
+        by = {}
+        for e, n in events.items():
+            if n >= 2:
+                by.setdefault(e[:-1], {})[e[-1]] = n
+        out = {}
+        for context, own in by.items():
+            gain = sum(n * math.log(n / whole(context) / before(context, w)) for w, n in own.items())
+            if gain > len(own) * math.log(distinct + 1):
+                out[context] = (own, whole(context), 1 - sum(n - 0.75 for n in own.values()) / whole(context))
+        return out
+
+    def mixed(state, w, before):
+        own, whole, freed = state
+        return (max(own.get(w, 0) - 0.75, 0) / whole if w in own else 0) + freed * before
+
+    first = states(twos, lambda c: ones[c[0]], lambda c, w: root(w))
+    one = lambda p, w: mixed(first[p,], w, root(w)) if (p,) in first else root(w)
+    kept = {e: n for e, n in threes.items() if (e[1],) in first}
+    second = states(kept, lambda c: twos[c], lambda c, w: one(c[1], w))
+
+    def probability(before, w):
+        if tuple(before[-2:]) in second:
+            return mixed(second[tuple(before[-2:])], w, one(before[-1], w))
+        return one(before[-1], w) if before else root(w)
+
+    return ones, total, distinct, root, first, second, probability
+
+
 def test_language_model(spark, docs):
     rng = random.Random(3)
-    rows = [(i, " ".join(rng.choice(["The", "cat", "sat", "on", "mat", f"w{i}"]) for _ in range(rng.randint(0, 60)))) for i in range(100, 180)] + AWKWARD[:5]
+    phrases = ["the cat sat on the mat", "a dog ran", "on the mat a dog sat", "the end of the day"]
+    rows = []
+    for i in range(100, 180):
+        parts = [rng.choice(phrases) if rng.random() < 0.6 else rng.choice(["The", "cat", f"w{i}", "day", "of"]) for _ in range(rng.randint(0, 14))]
+        rows.append((i, " ".join(parts)))
+    rows += [*AWKWARD, (300, rows[5][1] + " unheard words here")]
     df = docs(rows)
-    out = suffix_tree.score(df, (df.doc_id % 4 != 0) | df.doc_id.isNull()).collect()
-    assert len(out) == len(rows)
-    counts = Counter()
-    for i, t in rows:
-        if i is None or i % 4:
-            counts.update([*WORD.findall(fold(t)), "\0end"])
-    total, distinct, texts = sum(counts.values()), len(counts), dict(rows)
-    for r in out:
-        tokens = [*WORD.findall(fold(texts[r["doc_id"]])), "\0end"]
-        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(tokens), sum(counts[t] > 0 for t in tokens), total)
-        assert r["base_score"] == pytest.approx(sum(math.log10((counts[t] + 1) / (total + distinct + 1)) for t in tokens))
-        assert r["score"] < 0 and r["n_symbols"] == len((texts[r["doc_id"]] or "").encode()) + 1
-    learnt = [r for r in out if r["n_tokens"] > 20 and r["doc_id"] is not None and r["doc_id"] >= 100]
-    bits = -sum(r["score"] for r in learnt) / sum(r["n_symbols"] for r in learnt) / math.log10(2)
-    assert bits < 3  # five common words
+    train = (df.doc_id % 4 != 0) | df.doc_id.isNull()
+    texts = dict(rows)
+    ones, total, distinct, root, first, second, probability = naive_tree([t for i, t in rows if i is None or i % 4])
+    assert len(first) > 3 and len(second) > 3
+    for context in [*first, *second]:
+        assert sum(probability(context, w) for w in ones) + probability(context, "unheard") == pytest.approx(1)
+    for share in (suffix_tree.SHARE, 1.0):  # all terms at hand, or all joined
+        out = suffix_tree.score(df, train, share=share).collect()
+        assert len(out) == len(rows)
+        for r in out:
+            tokens = [*WORD.findall(fold(texts[r["doc_id"]])), "\0end"]
+            assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(tokens), sum(ones[t] > 0 for t in tokens), total)
+            assert r["base_score"] == pytest.approx(sum(math.log10(root(t)) for t in tokens))
+            assert r["score"] == pytest.approx(sum(math.log10(probability(tokens[:k], t)) for k, t in enumerate(tokens)))
+    held = [r for r in out if r["doc_id"] is not None and r["doc_id"] % 4 == 0 and r["n_tokens"] > 20]
+    assert held and all(r["score"] > r["base_score"] for r in held)
+
+
+def test_language_model_grows_with_the_corpus(spark, docs):
+    """More text, more states: nothing is kept by its share."""
+    rng = random.Random(31)
+    words = [f"v{i}" for i in range(300)]
+    lines = [" ".join(rng.choice(words) for _ in range(12)) for _ in range(200)]
+    size = []
+    for n in (50, 200):
+        tree, *_ = suffix_tree.grow(docs([(i, t) for i, t in enumerate(lines[:n] * 2)]).select("text"))
+        size.append(tree.where("base is null").count())
+    assert size[1] > 3 * size[0] > 0
 
 
 def test_language_model_without_training(spark, docs):
     df = docs([(1, "ab"), (2, None)])
     rows = suffix_tree.score(df, df.doc_id > 5).collect()
-    assert {r["train_tokens"] for r in rows} == {0}
-    assert {r["doc_id"]: r["score"] for r in rows}[2] == pytest.approx(-math.log10(257))
-
-
-def test_tree_states(spark):
-    """Longest-suffix states and smoothed probabilities by direct search."""
-    text = "abracadabra " * 300 + "banana bandana " * 200
-    counts = suffix_tree.count(spark.createDataFrame([(text,)], "text string")).cache()
-    tree = suffix_tree.grow(counts, share=1e-3)
-    known = {(d + 1, int(c)): int(s) for d, (cs, ss) in enumerate(zip(tree.contexts, tree.states, strict=True)) for c, s in zip(cs, ss, strict=True)}
-    assert any(d == 3 for d, _ in known) and np.allclose((10**tree.logs).sum(1), 1)
-    import pyarrow as pa
-
-    nexts, before = suffix_tree.symbols(pa.array(["abra banana", ""]))
-    assert nexts.tolist() == [*b"abra banana", 256, 256]
-    got = suffix_tree.Finder(tree).states(before)
-    for context, state in zip(before.tolist(), got.tolist(), strict=True):
-        longest = max((d for d in range(1, 5) if (d, context & ((1 << 8 * d) - 1)) in known), default=0)
-        assert state == (known[longest, context & ((1 << 8 * longest) - 1)] if longest else 0)
+    assert {r["train_tokens"] for r in rows} == {0} and {r["score"] for r in rows} == {0.0}
+    assert suffix_tree.score(df.where("false"), df.doc_id > 0).count() == 0
 
 
 # --- 2 ---------------------------------------------------------------------------
@@ -161,7 +271,7 @@ def test_tree_states(spark):
 def test_maximal_segments():
     rng = random.Random(4)
     for _ in range(300):
-        scores = [rng.choice([-20, -10, -1, 5, 10, 30]) for _ in range(rng.randint(0, 14))]
+        scores = [rng.choice([-1, rng.uniform(-20, 0), rng.uniform(0, 30)]) for _ in range(rng.randint(0, 14))]
         at = [i for i, s in enumerate(scores) if s != -1]
         got = toxicity.maximal(at, [scores[i] for i in at], 1)
 
@@ -173,8 +283,8 @@ def test_maximal_segments():
             return [*split(a, i), (i, j, best[0]), *split(j, b)]
 
         want = split(0, len(scores))
-        assert sum(s for *_, s in got) == pytest.approx(sum(s for *_, s in want))
-        assert max((s for *_, s in got), default=0) == pytest.approx(max((s for *_, s in want), default=0))
+        assert [(a, b) for a, b, _ in got] == [(a, b) for a, b, _ in want]
+        assert [s for *_, s in got] == pytest.approx([s for *_, s in want])
 
 
 def test_karlin():
@@ -210,6 +320,103 @@ def test_toxicity_held_out(spark, docs):
     assert kept.where("doc_id is null").count() == 0
 
 
+def test_toxicity_is_the_same_for_any_partitioning(spark, docs):
+    """Copies whose ids carry different labels, over 1, 3 and 8 partitions."""
+    rng = random.Random(15)
+    texts = [" ".join(rng.choice(["vile", "scum", *(f"w{i}" for i in range(60))]) for _ in range(40)) for _ in range(150)]
+    rows = [(i, rng.choice(texts)) for i in range(500)]
+    labels = spark.createDataFrame([(i, int("vile" in t) if rng.random() < 0.8 else rng.randrange(2)) for i, t in rows], "doc_id long, toxic int")
+    models, scores = [], []
+    for n in (1, 3, 8):
+        df = docs(rows).repartition(n)
+        models.append(toxicity.learn(df, labels.repartition(n)))
+        scores.append({r["doc_id"]: r["score"] for r in toxicity.score(df, models[-1]).collect()})
+    assert models[0].lexicon and models[0] == models[1] == models[2] and scores[0] == scores[1] == scores[2]
+
+
+def naive_toxicity(rows, labels, half, prior):
+    """Operator 2 over, in plain lists: scores by text."""
+    marks = {}
+    for i, y in labels:
+        if i is not None and y is not None:
+            marks[i] = max(y, marks.get(i, 0))
+    texts = {}
+    for i, t in rows:
+        if i in marks:
+            texts[t] = max(marks[i], texts.get(t, 0))
+    cut = lambda t: re.findall(r"\w+", (t or "").lower())
+    forms = lambda w: [w] + [w[:4] + "*"] * (len(w) > 4)
+    seen = {0: Counter(), 1: Counter()}
+    n = Counter()
+    for t, y in texts.items():
+        if half[t] == 0:
+            n[y] += 1
+            seen[y].update({f for w in cut(t) for f in forms(w)})
+    lexicon = {}
+    for token in seen[0] | seen[1]:
+        y1, y0 = seen[1][token], seen[0][token]
+        a = prior * (y1 + y0) / (n[1] + n[0])
+        d = math.log(((y1 + a) / (n[1] + prior - y1 - a + 1)) / ((y0 + a) / (n[0] + prior - y0 - a + 1)))
+        if y1 + y0 >= 5 and abs(d) > 3 * math.sqrt(1 / (y1 + a) + 1 / (y0 + a)):
+            lexicon[token] = d
+
+    def segments(text):
+        s = [max((lexicon[f] for f in forms(w) if f in lexicon), default=-0.1) for w in cut(text)]
+
+        def split(a, b):
+            best = max(((sum(s[i:j]), i - j, i, j) for i in range(a, b) for j in range(i + 1, b + 1)), default=(0,))
+            return [*split(a, best[2]), best[0], *split(best[3], b)] if best[0] > 1e-12 else []
+
+        return split(0, len(s))
+
+    clean = [t for t, y in texts.items() if half[t] == 1 and y == 0]
+    words = [w for t in clean for w in cut(t)]
+    drawn = Counter(max((lexicon[f] for f in forms(w) if f in lexicon), default=None) for w in words)
+    total, cost = len(words), drawn.pop(None, 0)
+    p = [(c / total, s) for s, c in drawn.items()] + [(0.5 / total, s) for s in {v for v in lexicon.values() if v > 0} - set(drawn)]
+    p.append((max(0, 1 - sum(q for q, _ in p)), -0.1))
+    low, high = 1e-9, 50.0
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if sum(q * math.exp(mid * s) for q, s in p) < 1 else (low, mid)
+    least = min(s for s in lexicon.values() if s > 0)
+    k = (sum(s >= least for t in clean for s in segments(t)) + 0.5) / (total * math.exp(-low * least))
+    fact = {t: sum(max(0.0, low * s - math.log(k * max(len(cut(t)), 1))) for s in segments(t)) for t in {t for _, t in rows}}
+    points = [(fact[t], y) for t, y in texts.items() if half[t] == 1]
+    bias = slope = 0.0
+    for _ in range(20_000):  # plain ascent, instead of Newton's steps
+        e = [(y - 1 / (1 + math.exp(-bias - slope * x)), x) for x, y in points]
+        bias, slope = bias + 0.01 * (sum(d for d, _ in e) - 0.01 * bias), slope + 0.01 * (sum(d * x for d, x in e) - 0.01 * slope)
+    return {t: 1 / (1 + math.exp(-bias - max(0, slope) * x)) for t, x in fact.items()}
+
+
+def test_toxicity_by_brute_force(spark, docs):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(25)
+    words = ["vile", "viler", "scummy", "scumbag", "moron", *(f"w{i}" for i in range(40))]
+    texts = []
+    for i in range(700):
+        own = [rng.choice(words[5:]) for _ in range(rng.randint(3, 18))]
+        if i % 3 == 0:
+            own[rng.randrange(len(own))] = rng.choice(words[:5])
+            own[0] = rng.choice(words[:5])
+        texts.append(" ".join(own))
+    rows = [*enumerate(texts), (900, None), (901, ""), (3, texts[8])]
+    labels = [(i, int(i % 3 == 0) if rng.random() < 0.93 else 1 - int(i % 3 == 0)) for i in range(650)]
+    df = docs(rows)
+    half = {r["text"]: r["h"] for r in df.select("text", toxicity.half_of(F.col("text")).alias("h")).collect()}
+    want = naive_toxicity(rows, labels, half, 20.0)
+    model = toxicity.learn(df, spark.createDataFrame(labels, "doc_id long, toxic int"), prior=20.0)
+    got = toxicity.score(df, model).collect()
+    texts_of = {}
+    for i, t in rows:
+        texts_of.setdefault(i, []).append(t)
+    assert len(got) == len(rows) and len(model.lexicon) >= 4
+    for r in got:
+        assert min(abs(r["score"] - want[t]) for t in texts_of[r["doc_id"]]) < 2e-3
+
+
 def test_toxicity_without_labels(spark, docs):
     df = docs([(1, "a"), (2, None)])
     model = toxicity.learn(df, spark.createDataFrame([], "doc_id long, toxic int"))
@@ -285,6 +492,33 @@ def test_bands_overlap():
             assert {r for r, *_ in decontaminate.occurrences(pa.array(texts), ix)} == {0, 1}, (length, shift)
 
 
+def test_repetitive_texts_in_bounded_memory():
+    """One letter 200,000 times against an item that repeats itself."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    items = [b"a" * 1000, b"the quick brown fox jumps over the lazy dog and runs"]
+    ix = decontaminate.index(items, decontaminate.RATE)
+    texts = pa.array(["a" * 200_000, "a" * 900 + " none", "x" + items[1].decode() + "y"])
+    tracemalloc.start()
+    found = {(r, i) for r, i, *_ in decontaminate.occurrences(texts, ix)}
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == {(0, 0), (2, 1)} and peak < 500 << 20
+
+
+def test_decontamination_names_and_types(spark, docs):
+    item = "a question about rivers that has more than thirty letters"
+    df = docs([(1, "so: " + item), (2, "clean text"), (None, None)]).withColumnsRenamed({"id": "gone", "doc_id": "d.i", "text": "t.x"})
+    bench = spark.createDataFrame([(1.5, item), (2.5, "tiny"), (3.5, None)], "item_id double, text string")
+    out = decontaminate.keep_clean(df, bench, "d.i", "t.x")
+    assert out.columns == df.columns and sorted(str(r["d.i"]) for r in out.collect()) == ["2", "None"]
+    found = decontaminate.find(df, bench, "d.i", "t.x").collect()
+    assert [(r["d.i"], r["item_id"], r["start"]) for r in found] == [(1, 1.5, 4)]
+    assert decontaminate.by_document(df.where("false"), decontaminate.find(df, bench, "d.i", "t.x"), "d.i").count() == 0
+
+
 def test_alignment():
     def best(item, text):
         row = [0] * (len(text) + 1)
