@@ -119,7 +119,7 @@ def test_streams(spark, tmp_path):
     for part in range(3):
         rows.where(f"ord div 4 = {part}").coalesce(1).write.parquet(str(tmp_path / f"in/{part}"))
     source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
-    for name, f, batch, kw in (("e", stream.ema, door.ema, {"alpha": 0.3}), ("l", stream.lookback, door.lookback, {"size": 3})):
+    for name, f, batch, kw in (("e", stream.ema, door.ema, {"alpha": 0.3}), ("l", stream.lookback, door.lookback, {"size": 3}), ("w", stream.lookback, door.lookback, {"size": 4, "mean": True, "linear": True})):
         query = smooth(f, source, segment="seg", **kw).writeStream.format("memory").queryName(f"door_{name}").outputMode("append").option("checkpointLocation", str(tmp_path / name)).start()
         query.processAllAvailable()
         query.stop()
