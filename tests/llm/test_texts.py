@@ -144,7 +144,7 @@ def naive_quality(rows):
                 for k in range(4):
                     values = sorted(math.floor(x[k] * 1000 + 0.5) for x in figures)
                     q1, q3 = (values[math.ceil(len(values) * q) - 1] for q in (0.25, 0.75))
-                    spread = 3 * max(1, q3 - q1)
+                    spread = (6 if k == 2 else 3) * max(1, q3 - q1)
                     ends.append(((q1 - spread) / 1000, (q3 + spread) / 1000))
                 bands[by, name] = ends
     kept = []

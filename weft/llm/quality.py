@@ -58,7 +58,10 @@ class Band:
 DEFAULT = {"latin": Band(1.2, 7.0, 1.2, 7.0, 0.25, 0.35), "two-byte": Band(0.6, 6.0, 0.6, 6.0, 0.9, 0.30), "wide": Band(0.3, 4.0, 0.3, 4.0, 0.98, 0.30)}
 #: Figures, and whether a band has a lower and an upper end for them.
 FIGURES = {"chars_per_token": (True, True), "chars_per_piece": (True, True), "fallback_share": (False, True), "token_entropy": (True, False)}
-FENCE, GRID, LEAST_TEXTS = 3.0, 1000, 100
+#: Interquartile ranges from the quartiles to a band's ends.  Shares of single bytes
+#: are skewed: codes and names in good texts reach twice as far as the other figures.
+FENCE = {"chars_per_token": 3.0, "chars_per_piece": 3.0, "fallback_share": 6.0, "token_entropy": 3.0}
+GRID, LEAST_TEXTS = 1000, 100
 #: Fewer tokens than this say nothing about fertility.
 LEAST_TOKENS = 32
 
@@ -172,7 +175,8 @@ def fit_bands(found: DataFrame) -> DataFrame:
     ranked = bins.withColumns({"to": F.sum("n").over(order), "all": F.sum("n").over(Window.partitionBy("by", "name", "figure"))})
     quartile = lambda q: F.min(F.when(F.col("to") >= F.ceil(F.col("all") * F.lit(q)), F.col("bin")))
     ends = ranked.groupBy("by", "name", "figure").agg(F.first("all").alias("n"), quartile(0.25).alias("q1"), quartile(0.75).alias("q3"))
-    spread = F.greatest(F.col("q3") - F.col("q1"), F.lit(1)) * FENCE
+    far = F.create_map(*[F.lit(x) for pair in FENCE.items() for x in pair])[F.col("figure")]
+    spread = F.greatest(F.col("q3") - F.col("q1"), F.lit(1)) * far
     fenced = ends.withColumns({"low": (F.col("q1") - spread) / GRID, "high": (F.col("q3") + spread) / GRID})
     sides = [F.max(F.when(F.col("figure") == f, F.col(side))).alias(f"{side}_{f}") for f in FIGURES for side in ("low", "high")]
     return fenced.groupBy("by", "name").agg(F.max("n").alias("n"), *sides)
