@@ -24,10 +24,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weft.llm.common import written
+from weft.llm.common import named, written
 
 #: Bits of a digit, digits of the text's and of the id's hash.
 BITS, DIGITS = 12, 5
@@ -62,13 +63,18 @@ class Node:
     open: bool = True
 
 
-def _table(like: DataFrame, nodes: list[Node]) -> DataFrame:
-    """The nodes' splits as a table, to be joined on node."""
-    rows = ", ".join(f"({n.node}L, {n.dim}, array({', '.join(map(str, n.prefix))}){'' if n.prefix else ''}, {str(n.inclusive).lower()})" for n in nodes)
-    made = like.sparkSession.sql(f"select * from values {rows} as t(node, dim, prefix, inclusive)").withColumn("prefix", F.col("prefix").cast("array<int>"))
+def _table(like: DataFrame, nodes: list[Node], **columns: pa.Array) -> DataFrame:
+    """A table of columns by node, to be joined on node."""
+    made = like.sparkSession.createDataFrame(pa.table({"node": pa.array([n.node for n in nodes], pa.int64()), **columns}))
     return F.broadcast(made) if len(nodes) <= BROADCAST_NODES else made
 
 
+def _splits(like: DataFrame, nodes: list[Node]) -> DataFrame:
+    """(node, dim, prefix, inclusive) of the nodes."""
+    prefixes = pa.array([n.prefix for n in nodes], pa.list_(pa.int32()))
+    return _table(like, nodes, dim=pa.array([n.dim for n in nodes], pa.int32()), prefix=prefixes, inclusive=pa.array([n.inclusive for n in nodes]))
+
+
 def _key(length: int) -> Column:
     """The first digits of a row's key along dim."""
     along = F.element_at("coords", F.col("dim") + 1)
@@ -82,12 +88,12 @@ def _median(rows: DataFrame, nodes: list[Node], tolerance: float, group_toleranc
         active = [n for n in nodes if n.open]
         if not active:
             return
-        state = rows.join(_table(rows, active), "node")
+        state = rows.join(_splits(rows, active), "node")
         inside = state.where(_key(at) == F.col("prefix")) if at else state
         sums = inside.groupBy("node", F.element_at(_key(at + 1), -1).alias("digit")).agg(F.sum("size").alias("w"))
         below = sums.withColumn("up_to", F.sum("w").over(Window.partitionBy("node").orderBy("digit").rowsBetween(Window.unboundedPreceding, 0)))
-        half = rows.sparkSession.sql("select * from values " + ", ".join(f"({n.node}L, {n.total / 2 - n.below}D)" for n in active) + " as t(node, half)")
-        found = below.join(F.broadcast(half) if len(active) <= BROADCAST_NODES else half, "node").where("up_to >= half").groupBy("node").agg(F.min(F.struct("digit", "up_to", "w")).alias("x"))
+        half = _table(rows, active, half=pa.array([n.total / 2 - n.below for n in active], pa.float64()))
+        found = below.join(half, "node").where("up_to >= half").groupBy("node").agg(F.min(F.struct("digit", "up_to", "w")).alias("x"))
         got = {r["node"]: r["x"] for r in found.collect()}
         for n in active:
             x = got[n.node]
@@ -110,14 +116,14 @@ def shards(
     in key order; slot numbers the rows of a shard from 0 without gaps.  Copies of
     a text whose coordinates agree share a shard, but for groups of more than
     group_tolerance of the bytes where a cut falls: those are cut by id."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    text = F.coalesce(named(text_col), F.lit(""))
     narrow = written(
         df.select(
-            F.col(id_col).alias("id"),
+            named(id_col).alias("id"),
             (F.octet_length(text) + 1).cast("bigint").alias("size"),
             F.crc32(text.cast("binary")).alias("text_crc32"),
             F.array(*dimensions.values()).alias("coords"),
-            F.array(*_digits(F.xxhash64(text)), *_digits(F.xxhash64(F.col(id_col), F.lit(1)))).alias("ties"),
+            F.array(*_digits(F.xxhash64(text)), *_digits(F.xxhash64(named(id_col), F.lit(1)))).alias("ties"),
         )
     )
     whole = narrow.agg(F.sum("size").alias("b"), F.count("*").alias("n")).first()
@@ -133,7 +139,7 @@ def shards(
             break
         nodes = [Node(r["node"], r["b"], max(range(len(dimensions)), key=lambda i, r=r: r[f"d{i}"])) for r in facts]
         _median(rows, nodes, tolerance, group_tolerance)
-        split = rows.join(_table(rows, nodes), "node", "left")
+        split = rows.join(_splits(rows, nodes), "node", "left")
         key = _key(F.size("prefix"))
         left = F.when(F.col("inclusive"), key <= F.col("prefix")).otherwise(key < F.col("prefix"))
         place = F.when(F.col("dim").isNull(), F.col("node")).when(left, F.col("node") * 2).otherwise(F.col("node") * 2 + 1)
