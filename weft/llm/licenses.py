@@ -1,7 +1,9 @@
 """Licence detection by ordered signature rules (operator 8), Spark functions only.
 
 A text passes a cheap gate of words; of the several hundred rules only those
-whose own keyword occurs are matched.  Both are single words that every match of
+whose own keyword occurs are matched (their patterns are data, compiled where
+they are needed: texts past the gate are few, and a plan with a branch a rule
+would be far larger than the work).  Both are single words that every match of
 a rule contains, so neither loses a match.  Detections are sorted by place: one that
 lies inside another is suppressed, and of two that overlap the one of stronger
 priority stays.  One narrow pass without shuffle or Python.
@@ -18,6 +20,7 @@ import functools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weft.llm.common import named
 from weft.llm.license_rules import rules
 from weft.llm.spans import spans
 
@@ -67,8 +70,8 @@ def resolved(found: Column) -> Column:
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of df: (id_col, n_words, n_base, first_word, last_word,
     base_labels array, labels array, score)."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    base = df.select(F.col(id_col).alias("id"), text.alias("text"), F.lower(text).alias("low"))
+    text = F.coalesce(named(text_col), F.lit(""))
+    base = df.select(named(id_col).alias("id"), text.alias("text"), F.lower(text).alias("low"))
     gate = functools.reduce(lambda a, b: a | b, [F.contains("low", F.lit(k)) for k in GATE])
     gated = base.select("id", "text", F.regexp_count("text", F.lit(WORD)).cast("bigint").alias("n_words"), F.when(gate, F.col("low")).alias("low"))
     has = F.contains("low", F.lit("license"))
