@@ -1,22 +1,24 @@
 """Toxicity by maximum-scoring segments (operator 2).
 
 Learning (a bounded, documented sample of labelled rows: the `sample` ids of
-least hash; half of their texts, by the text's hash, for the lexicon, half to
-calibrate; a text that several of them share counts once, as toxic if one label
-says so): each token's log-odds between toxic and clean texts under a Dirichlet prior
+least hash; half of their texts, by a sketch's hash, for the lexicon, half to
+calibrate; texts that agree on the sketch, as copies do, count once, as most of
+their labels say): each token's log-odds between toxic and clean texts under a Dirichlet prior
 whose pseudo-counts follow the token's share of all texts.  Words count
 by themselves and by their first letters, so that rare forms of a stem count
 together.  Forms whose log-odds lie `z` standard
-errors from 0 are the lexicon; a token scores as the higher of its forms, and
+errors and a factor of two from 0 are the lexicon; a token scores as the higher of its forms, and
 every other token costs `cost`.  Then the expected score of a token of clean text is negative, so
 the best segment of clean text follows an extreme-value law, with lambda from
-the token scores and K from the segments of clean calibration texts.
+the token scores and K from the segments of clean calibration texts (but for the
+TRIM of them that score highest, where labels may be wrong).
 
 Scoring is one narrow pass: the linear-time scan for all maximal segments
 (Ruzzo-Tompa) over the tokens in the lexicon, the costs between them summed;
 a segment of score s among n tokens is expected exp(-x) times in clean text,
 x = lambda * s - ln(K * n).  Positive x are summed over a text, and a logistic
-curve fitted on the calibration half gives the probability.
+curve in the logarithm of 1 + that sum, fitted on the calibration half, gives the
+probability: long texts with many passages don't bend it.
 
 The lexicon and the curve are the only data sent to executors; the lexicon has
 at most `sample` * 1000 tokens and in fact those seen in `least` texts.  The
@@ -26,7 +28,7 @@ partitioning of rows: counts are whole numbers, and sums of fractions are exact
 (fsum).
 
 Null and empty texts score as texts without evidence.  Labels that are null are
-left out; of contradicting labels the largest counts.  Without any label of
+left out; of contradicting labels the more frequent counts, toxic on ties.  Without any label of
 either kind every text scores 0 and the lexicon is empty.  Rows that repeat an
 id are scored one by one, from their text alone.
 """
@@ -39,14 +41,21 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weft.llm.common import id_crc, map_arrow, named, written
-from weft.llm.words import pieces
+from weft.llm.words import cut, pieces
 
 SAMPLE, LEAST, Z, COST, PRIOR = 20_000, 5, 3.0, 0.1, 200.0
+#: Log-odds of a factor of two: what differs by less is no sign of toxicity, however
+#: certain, but adds up over long texts.
+LEAST_ODDS = math.log(2)
+#: Share of the clean calibration texts that are left out of the extreme-value fit:
+#: those of most positive score a token, which may be mislabelled.
+TRIM = 0.05
 #: Letters of a stem.
 STEM = 4
 TOKEN = re.compile(r"\w+").findall
@@ -96,7 +105,7 @@ def log_odds(rows: list[tuple[str, int, int]], n1: int, n0: int, z: float, prior
         a = prior * (y1 + y0) / (n1 + n0)
         one, zero = (y1 + a) / (n1 + prior - y1 - a + 1), (y0 + a) / (n0 + prior - y0 - a + 1)
         d = math.log(one / zero)
-        if abs(d) > z * math.sqrt(1 / (y1 + a) + 1 / (y0 + a)):
+        if abs(d) > max(LEAST_ODDS, z * math.sqrt(1 / (y1 + a) + 1 / (y0 + a))):
             out[token] = d
     return out
 
@@ -162,18 +171,43 @@ def scored(words: list[str], lexicon: dict[str, float]) -> tuple[list[int], list
     return at, scores
 
 
-def half_of(text: Column) -> Column:
+def crowd(words: list[str], lexicon: dict[str, float]) -> float:
+    """Positive score a token."""
+    return math.fsum(s for s in scored(words, lexicon)[1] if s > 0) / max(1, len(words))
+
+
+def sketch(texts: pa.Array) -> np.ndarray:
+    """The least hash of each text's runs of three words (of all its words, if they
+    are fewer): near copies mostly agree on it."""
+    w = cut(texts, fold=True)
+    h = w.hashes()
+    wins, bounds = w.windows(h, 3)
+    out = np.zeros(len(texts), np.int64)
+    for r in range(len(texts)):
+        own = wins[bounds[r] : bounds[r + 1]] if bounds[r + 1] > bounds[r] else h[w.first[r] : w.first[r + 1]]
+        out[r] = own.min().view(np.int64) if len(own) else 0
+    return out
+
+
+def half_of(key: Column) -> Column:
     """Which half of the sample a text is in: 0 for the lexicon, 1 to calibrate."""
-    return F.pmod(F.xxhash64(text, F.lit(7)), F.lit(2)).cast("int")
+    return F.pmod(F.xxhash64(key, F.lit(7)), F.lit(2)).cast("int")
 
 
 def learn(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, least: int = LEAST, z: float = Z, cost: float = COST, prior: float = PRIOR) -> Model:
     """labels: the rows that may be learnt from (id_col, label_col)."""
-    known = labels.where(named(id_col).isNotNull() & named(label_col).isNotNull()).groupBy(named(id_col).alias("__id")).agg(F.max(named(label_col)).cast("int").alias("y"))
+    known = labels.where(named(id_col).isNotNull() & named(label_col).isNotNull()).groupBy(named(id_col).alias("__id")).agg((F.avg(named(label_col)) >= 0.5).cast("int").alias("y"))
     chosen = known.orderBy(F.xxhash64("__id"), "__id").limit(sample)
     rows = df.select(named(id_col).alias("__id"), named(text_col).alias("text"))
-    texts = rows.join(F.broadcast(chosen), "__id").groupBy("text").agg(F.max("y").alias("y"))
-    picked = written(texts.select("text", "y", half_of(F.col("text")).alias("half")))
+    texts = rows.join(F.broadcast(chosen), "__id").groupBy("text").agg((F.avg("y") >= 0.5).cast("int").alias("y"))
+
+    def keyed(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for a, b in pieces(batch.column(0)):
+            part = batch.slice(a, b - a)
+            yield pa.RecordBatch.from_arrays([pa.array(sketch(part.column(0))), *part.columns], ["key", "text", "y"])
+
+    groups = map_arrow(texts, keyed, "key bigint, text string, y int").groupBy("key").agg(F.min("text").alias("text"), (F.avg("y") >= 0.5).cast("int").alias("y"))
+    picked = written(groups.select("text", "y", half_of(F.col("key")).alias("half")))
 
     def count(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for a, b in pieces(batch.column(0)):
@@ -196,6 +230,14 @@ def learn(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     context = df.sparkSession.sparkContext
     lexicon = context.broadcast(m.lexicon)
 
+    def density(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for a, b in pieces(batch.column(0)):
+            yield pa.RecordBatch.from_arrays([pa.array([crowd(tokens_of(t), lexicon.value) for t in batch.column(0).slice(a, b - a).to_pylist()], pa.float64())], ["x"])
+
+    clean = rest.where("y <> 1").select("text")
+    crowded = sorted(r["x"] for r in map_arrow(clean, density, "x double").collect())
+    most = crowded[math.ceil(len(crowded) * (1 - TRIM)) - 1] if crowded else 0.0
+
     def draw(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         """Of clean texts: how often each score occurs; under null, the tokens;
         under infinity, the segments of at least the least positive score."""
@@ -203,13 +245,16 @@ def learn(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         for a, b in pieces(batch.column(0)):
             for text in batch.column(0).slice(a, b - a).to_pylist():
                 words = tokens_of(text)
+                if crowd(words, lexicon.value) > most:
+                    continue
                 at, scores = scored(words, lexicon.value)
                 drawn.update(scores)
                 drawn[None] += len(words)
                 drawn[math.inf] += sum(s >= low for *_, s in maximal(at, scores, cost))
-        yield pa.RecordBatch.from_arrays([pa.array(list(drawn), pa.float64()), pa.array(list(drawn.values()), pa.int64())], ["score", "n"])
+        if drawn:
+            yield pa.RecordBatch.from_arrays([pa.array(list(drawn), pa.float64()), pa.array(list(drawn.values()), pa.int64())], ["score", "n"])
 
-    drawn = {r["score"]: r["n"] for r in map_arrow(rest.where("y <> 1").select("text"), draw, "score double, n bigint").groupBy("score").agg(F.sum("n").alias("n")).collect()}
+    drawn = {r["score"]: r["n"] for r in map_arrow(clean, draw, "score double, n bigint").groupBy("score").agg(F.sum("n").alias("n")).collect()}
     total, found = drawn.pop(None, 0), drawn.pop(math.inf, 0)
     if total:
         rare = [(0.5 / total, s) for s in sorted({s for s in m.lexicon.values() if s > 0} - set(drawn))]
@@ -220,7 +265,7 @@ def learn(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     def calibrate(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for a, b in pieces(batch.column(0)):
-            sums = [probability(text, held.value)[1] for text in batch.column(0).slice(a, b - a).to_pylist()]
+            sums = [math.log1p(probability(text, held.value)[1]) for text in batch.column(0).slice(a, b - a).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(sums, pa.float64()), batch.column(1).slice(a, b - a)], ["x", "y"])
 
     points = sorted((r["x"], int(r["y"] == 1)) for r in map_arrow(rest.select("text", "y"), calibrate, "x double, y int").collect())
@@ -234,7 +279,7 @@ def probability(text: str | None, m: Model) -> tuple[float, float, list[tuple[tu
     segments = maximal(*scored(words, m.lexicon), m.cost)
     facts = [(s, x) for s, x in zip(segments, evidence(segments, len(words), m), strict=True) if x > 0]
     total = math.fsum(x for _, x in facts)
-    return 1 / (1 + math.exp(-max(-30.0, min(30.0, m.bias + m.slope * total)))), total, facts
+    return 1 / (1 + math.exp(-max(-30.0, min(30.0, m.bias + m.slope * math.log1p(total))))), total, facts
 
 
 def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
