@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from weft.llm import components, jaccard, shards, substring
+from weft.llm import common, components, jaccard, shards, substring
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -108,28 +108,39 @@ def test_jaccard_empty(spark, docs):
     assert jaccard.join(docs([(1, "x")]).where("false")).count() == 0
 
 
-def test_prefix_bounds():
-    """The least overlap of two members' differences from their hub, by search."""
-    share = 10 / 190
-    for na in range(10, 40):
-        for nb in range(int(0.9 * na), int(na / 0.9) + 1):
-            most = int(share * (na + na * 100 // 90))
-            assert share * (na + nb) <= most + 1 or 100 * min(na, nb) < 90 * max(na, nb)
-
-
-def test_fragments_meet():
-    """Any two linked sets share a signature."""
+@pytest.mark.parametrize("percent", [90, 80])
+def test_links_around_a_hub(spark, docs, percent):
+    """Members that differ from their hub in the same few ways: pairs that only
+    their differences bring together, at every distance from the hub."""
+    rng = random.Random(percent)
+    base = [f"w{i}" for i in range(70)]
+    changes = [(at, f"x{at}_{v}") for at in (5, 14, 23, 32, 41, 50, 59) for v in range(2)]
+    rows = []
+    for _ in range(220):
+        words = list(base)
+        for at, word in rng.sample(changes, rng.choice([0, 1, 2, 3, 4, 5, 6])):
+            words[at] = word
+        rows.append(" ".join(words[rng.choice([0, 0, 0, 1, 3]) :]))
+    rows = list(enumerate(rows))
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.join(docs(rows), percent).collect()}
+    assert got == classes(rows, percent)
+
+
+@pytest.mark.parametrize("percent", [90, 80])
+def test_fragments_meet(percent):
+    """Any two linked sets share as many signatures as both need, at one level."""
     import numpy as np
 
     rng = np.random.default_rng(3)
-    for n in [*range(9, 40), 100, 333]:
+    for n in [*range(4, 40), 100, 333]:
         for _ in range(20):
             a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64) * np.uint64(2))
-            gone = rng.integers(0, jaccard.budget(2 * len(a), 90) + 1)
+            gone = rng.integers(0, jaccard.budget(2 * len(a), percent) + 1)
             b = np.unique(np.concatenate((rng.permutation(a)[gone // 2 :], rng.integers(0, 2**63, gone - gone // 2).astype(np.uint64))))
             shared = len(np.intersect1d(a, b))
-            if 100 * shared >= 90 * (len(a) + len(b) - shared) and shared < max(len(a), len(b)):
-                assert set(jaccard.signatures(a, 90).tolist()) & set(jaccard.signatures(b, 90).tolist())
+            if 100 * shared >= percent * (len(a) + len(b) - shared) and shared < max(len(a), len(b)):
+                met = [(len(np.intersect1d(x, y)), p, q) for x, p in jaccard.signatures(a, percent) for y, q in jaccard.signatures(b, percent)]
+                assert any(m >= max(p, q) for m, p, q in met)
 
 
 def test_components(spark):
@@ -192,9 +203,82 @@ def test_substring(spark, docs, width, gram):
     assert substring.remove_repeats(docs(rows).where("false")).count() == 0
 
 
+def test_joins_without_broadcasts(spark, docs, monkeypatch):
+    """Beyond the size of a broadcast, the same joins are shuffled."""
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    rows = list(enumerate(near_copies(random.Random(29), 2, 40, 60) + ["same text of five words"] * 30))
+    out = {r["doc_id"]: r["component_id"] for r in jaccard.join(docs(rows), 80).collect()}
+    assert out == classes(rows, 80)
+
+
+def test_salted_join_spreads_a_hot_key(spark):
+    """A key that nine tenths of the rows have is dealt over many tasks."""
+    left = common.written(spark.range(20_000).select(F.when(F.col("id") % 10 == 0, F.col("id")).otherwise(1).alias("k"), "id"))
+    right = common.written(spark.range(20_000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v")))
+    before = {c: spark.conf.get(c) for c in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        for c, v in zip(before, ("-1", "false", "16"), strict=True):
+            spark.conf.set(c, v)
+        joined = common.salted(left, right, ["k"], "left", common.hot_keys(left, ["k"]))
+        sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sizes) == 20_000 and max(sizes) < 0.25 * 20_000
+        assert joined.where("v = 2 * k").count() == 20_000
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+
+
+def test_shared_folder_is_needed_on_a_cluster(spark, monkeypatch):
+    class Elsewhere:
+        conf = spark.conf
+        sparkContext = type("C", (), {"master": "spark://elsewhere:7077"})()
+
+    if spark.conf.get("spark.checkpoint.dir", None) is None:
+        with pytest.raises(RuntimeError, match="checkpoint"):
+            common.shared_dir(Elsewhere())
+
+
 # --- 4 ---------------------------------------------------------------------------
 
 
+def naive_shards(rows, depth):
+    """A k-d tree in plain lists: rows are (id, size, coordinates, ties)."""
+    out = {}
+
+    def split(part, path):
+        if len(path) == depth or len(part) < 2:
+            for r in part:
+                out[r[0]] = int(path.ljust(depth, "0"), 2)
+            return
+        spread = [max(r[2][d] for r in part) - min(r[2][d] for r in part) for d in range(len(part[0][2]))]
+        dim = spread.index(max(spread))
+        key = lambda r: (r[2][dim], *r[3])
+        order, total, before = sorted(part, key=key), sum(r[1] for r in part), 0
+        for r in order:
+            if before + r[1] >= total / 2:
+                inside = total / 2 - before > before + r[1] - total / 2
+                cut = key(r)
+                split([x for x in part if key(x) < cut or (inside and key(x) == cut)], path + "0")
+                split([x for x in part if not (key(x) < cut or (inside and key(x) == cut))], path + "1")
+                return
+            before += r[1]
+
+    split(rows, "")
+    return out
+
+
+def test_shards_by_brute_force(spark, docs):
+    rng = random.Random(27)
+    rows = [(i, "t" * rng.randint(1, 60) + f" é{i}") for i in range(150)] + [(200, None), (201, "")]
+    langs = F.when(F.col("doc_id") % 3 == 0, "de").when(F.col("doc_id") % 7 == 0, None).otherwise("en")
+    df = docs(rows).withColumn("lang", langs)
+    text = F.coalesce("text", F.lit(""))
+    plain = df.select("doc_id", (F.octet_length(text) + 1).alias("s"), F.array(*dims().values()).alias("c"), F.array(*shards._digits(F.xxhash64(text)), *shards._digits(F.xxhash64("doc_id", F.lit(1)))).alias("t"))
+    want = naive_shards([(r["doc_id"], r["s"], r["c"], r["t"]) for r in plain.collect()], 3)
+    got = shards.shards(df, dims(), leaves=8, tolerance=0.0, group_tolerance=0.0).collect()
+    assert {r["doc_id"]: r["shard"] for r in got} == want and set(want.values()) == set(range(8))
+
+
 def dims():
     return {"n_chars": shards.log_scale(F.col("n_chars")), "lang": shards.category(F.col("lang"))}
 
@@ -259,3 +343,27 @@ def test_pipeline(spark, tmp_path):
     assert {1002, 1003, 1004} <= set(out) and len(out) > 240
     assert out[1002]["text"].startswith("mail me at [email] w") and len(out[1002]["ids"]) == out[1002]["n_tokens"]
     assert 4 <= len(corpus_pipeline.STAGES) <= 5
+
+
+def test_pipeline_edges(spark, tmp_path):
+    """Nulls, empty and very long texts, repeated rows, columns whose names ours
+    could clash with, and an empty table, through every stage."""
+    import corpus_pipeline
+
+    long = " ".join(f"w{i % 997}" for i in range(60_000))
+    rows = [(1, "plain text that stays where it is", "en", "s", 0), (1, "plain text that stays where it is", "en", "s", 0), (2, None, None, None, None), (None, "no id but some text here", "en", "s", 0), (3, "", "en", "s", 0), (4, long, "en", "s", 0), (5, "write to a.b@example.com", "en", "s", 0)]
+    kind = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame(rows, kind).withColumns({"ids": F.lit(7), "gone": F.lit("g"), "found": F.lit("f"), "c1": F.lit(1), "a.b": F.lit("dot")})
+    spark.createDataFrame([(1, 1, 0), (9, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for stage_docs in (docs, docs.where("false")):
+        now = stage_docs
+        for name, stage in corpus_pipeline.STAGES:
+            now = stage(spark, now, str(tmp_path))
+            if name != "byte_bpe":
+                assert now.columns == docs.columns, name
+        out = now.collect()
+        assert len(out) == stage_docs.count()
+        if out:
+            assert next(r["text"] for r in out if r["doc_id"] == 5) == "write to [email]"
+            assert {r["a.b"] for r in out} == {"dot"} and next(r["n_tokens"] for r in out if r["doc_id"] == 3) == 0

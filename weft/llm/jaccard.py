@@ -4,28 +4,37 @@ The global order of n-grams is the order of their hashes.  It is cut into k
 fragments; two sets whose symmetric difference is below k agree on at least one
 whole fragment, so sets meet only by the hashes of whole fragments.  k follows
 from the similarity and the sizes, by size level; a set also joins the next
-level where a larger partner could stand there.  Such a fragment holds about six
-n-grams that must all agree, so common passages alone bring no sets together.
+level where a larger partner could stand there.  k exceeds the largest difference
+by a third, so two linked sets agree on a fourth of their fragments or so, and
+common passages alone bring no sets together.
 
 1. Equal sets become one class.
-2. Classes that share a fragment are paired with the least of them, their hub
-   (one pair per class and hub).  Partial overlaps are counted for each of eight
+2. Classes that share fewer fragments with all others than a partner would share
+   with them alone are left out; the rest are paired with the least class of each
+   shared fragment, their hub (one pair per class and hub).  Partial overlaps are counted for each of eight
    vertical fragments apart and summed per pair.
-3. Two members of a hub that don't both link to it may still link to each other.
+   Those that don't link to it are paired with the least of themselves, in a few
+   rounds.
+3. Two members of a hub in different components so far may still link: one that
+   is linked to the hub and one that is near it, or two that the last round left.
    Their differences from the hub must then overlap, and that join has a prefix
    filter (differences that many members share come last), so a large group of
    near copies never becomes all of its pairs.  What remains is counted exactly.
 4. Links become connected components.
 
-No link between different sets is lost: members of a hub that both link to it
-are connected already, and all others that can link are counted exactly.
+No link between different components is lost: members of a hub that both link to
+it, or to one another's component, are connected already, and all others that can
+link are counted exactly.
 
-Broadcasts hold ids or fragment hashes up to common.BROADCAST_ROWS rows, counted
-before; beyond that the same join is shuffled.
+Broadcasts hold ids or fragment hashes of up to common.BROADCAST_BYTES, measured
+before; beyond that the same join is shuffled.  A bit table of shared signatures
+(32 MB at most) only spares shuffles.  Hubs of many members, and groups of many
+copies, are dealt over many tasks.
 
 Null and empty texts have the empty set, which links with nothing.  Rows that
 share an id count as one document.  Rows without id are alone in their
-component (null).  Other columns are not read.
+component (null).  An empty table gives no rows.  Columns are taken by name or
+place, so that none can clash; other columns are not read.
 """
 
 from __future__ import annotations
@@ -37,12 +46,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.common import few, lists, map_arrow, written
+from weft.llm.common import few, forget, hot_keys, lists, map_arrow, named, salted, settle, written
 from weft.llm.components import components
 from weft.llm.words import U, cut, mix, pieces
 
 #: Fragments in which partial overlaps are counted apart.
 VERTICAL = 8
+#: One fragment in SPARE beyond the largest difference: the more, the more
+#: fragments of two linked sets agree, and the fewer n-grams each has.
+SPARE = 3
+#: Bits of the largest table of shared signatures, as a power of 2.
+MOST_BITS = 28
+#: Rounds of hubs before what is left is compared by differences.
+ROUNDS = 3
 #: Members of a large hub that its common differences are told from, about.
 SAMPLE = 24
 
@@ -79,28 +95,49 @@ def budget(total: int, percent: int) -> int:
     return total * (100 - percent) // (100 + percent)
 
 
-def signatures(s: np.ndarray, percent: int) -> np.ndarray:
-    """Hashes of a sorted set's fragments, at its level and, if it can have
-    partners there, the next."""
+def signatures(s: np.ndarray, percent: int) -> list[tuple[np.ndarray, int]]:
+    """For a sorted set's level and, if it can have partners there, the next:
+    (hashes of its fragments, how many of them it shares at least with any
+    partner that stands there)."""
     n = len(s)
     if not n:
-        return np.empty(0, U)
+        return []
     own = int(np.searchsorted(LEVELS, n, "right")) - 1
+    most = n * 100 // percent
     mixed, out = mix(s), []
-    for level in (own, own + 1)[: 1 + (n * 100 // percent >= LEVELS[own + 1])]:
-        d = budget(2 * (int(LEVELS[level + 1]) - 1), percent)
+    for level in (own, own + 1)[: 1 + (most >= LEVELS[own + 1])]:
+        end = int(LEVELS[level + 1]) - 1
+        d = budget(2 * end, percent)
         if not d:
             continue
-        k = d + 2 + d // 16
+        k = d + 2 + d // SPARE
         f = ((s >> U(32)) * U(k)) >> U(32)
         first = np.flatnonzero(np.concatenate(([True], f[1:] != f[:-1])))
         place = mix(np.arange(k, dtype=U) + U(level << 32))
-        out.append(mix(np.add.reduceat(mixed, first) + place[f[first].astype(np.int64)]))
-        if k - len(first) >= k - d:  # so many fragments are empty that they may be all that agrees
+        found = mix(np.add.reduceat(mixed, first) + place[f[first].astype(np.int64)])
+        apart, empties = budget(n + min(most, end), percent), k - len(first)
+        if empties >= k - apart:  # so many fragments are empty that they may be all that agrees
             empty = np.ones(k, bool)
             empty[f[first].astype(np.int64)] = False
-            out.append(mix(place[empty]))
-    return np.unique(np.concatenate(out)) if out else np.empty(0, U)
+            found = np.concatenate((found, mix(place[empty])))
+        out.append((found, max(1, k - apart - empties)))
+    return out
+
+
+def _twice(rows: DataFrame) -> DataFrame:
+    """(sig, hub): signatures of two sets and more, each with the least of them."""
+    return rows.groupBy("sig").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).where("hub <> last").select("sig", "hub")
+
+
+def _bits(sigs: DataFrame) -> tuple[int, np.ndarray]:
+    """(b, words): a table of 2**b bits, set where the first b bits of a signature
+    point; eight bits a signature, 2**MOST_BITS (32 MB) at most."""
+    bits = max(16, min(MOST_BITS, (8 * sigs.count()).bit_length()))
+    slot = F.shiftrightunsigned("sig", 64 - bits)
+    words = sigs.groupBy(F.shiftright(slot, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(sig, {64 - bits}) & 63 as int))")).alias("set")).toArrow()
+    table = np.zeros(1 << (bits - 6), U)
+    table[words["word"].to_numpy()] = words["set"].to_numpy().view(U)
+    return bits, table
 
 
 def _overlaps(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
@@ -110,36 +147,163 @@ def _overlaps(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
     hubs = tokens.join(few(written(pairs.select(F.col("b").alias("id")).distinct())), "id", "left_semi")
     left = tokens.select(F.col("id").alias("a"), "v", F.col("n").alias("na"), F.col("tokens").alias("ta"))
     right = hubs.select(F.col("id").alias("b"), "v", F.col("n").alias("nb"), F.col("tokens").alias("tb"))
-    both = left.join(few(pairs), "a").join(right, ["b", "v"])
+    both = salted(left.join(few(pairs), "a"), right, ["b", "v"], "inner", hot_keys(pairs, ["b"]))
     gather = lambda x, y: F.flatten(F.collect_list(F.array_except(x, y)))
     partial = [F.sum(F.size(F.array_intersect("ta", "tb"))).alias("shared"), gather("ta", "tb").alias("gained"), gather("tb", "ta").alias("lost")]
     return both.groupBy("a", "b", "na", "nb").agg(*partial)
 
 
-def links(df: DataFrame, percent: int = 90, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+def _linked(na: str, nb: str, shared: str, percent: int) -> Column:
+    return F.expr(f"100 * {shared} >= {percent} * ({na} + {nb} - {shared})")
+
+
+def _stars(kept: DataFrame, tokens: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(stars: a, its hub b, and how they compare; (a, b) whose a may still link to
+    others of b's that aren't linked to b either).
+
+    A round pairs the sets of each signature with the least of them.  What isn't
+    linked to that hub goes on to the next round, without the hub and those linked
+    to it, so that groups that only meet in a passage come apart."""
+    active, known, tables = kept, None, []
+    for _ in range(ROUNDS):
+        hubs = written(_twice(active))
+        rows = written(active.join(few(hubs), "sig").where("rep <> hub").select("sig", F.col("rep").alias("a"), F.col("hub").alias("b")))
+        pairs = rows.select("a", "b").distinct()
+        pairs = written(pairs if known is None else pairs.join(known, ["a", "b"], "left_anti"))
+        star = written(_overlaps(pairs, tokens).withColumn("linked", _linked("na", "nb", "shared", percent)).withColumn("size", F.expr("na + nb - 2 * shared")))
+        known = star if known is None else known.union(star)
+        apart = rows.join(known.where("linked").select("a", "b"), ["a", "b"], "left_anti")
+        rest = written(apart.select("sig", "a", "b"))
+        active = rest.select(F.col("a").alias("rep"), "sig")
+        forget(hubs, rows, pairs)
+        tables.append(rest)
+        if not rest.count():
+            break
+    if rest.count():
+        rest = rest.join(few(written(_twice(active).select("sig"))), "sig", "left_semi")
+    still = written(rest.select("a", "b").distinct())
+    forget(*tables)
+    return known, still
+
+
+def _across(stars: DataFrame, still: DataFrame, joined: DataFrame, percent: int) -> DataFrame | None:
+    """Links (a, b), if any, between members of one hub that the stars leave in different
+    components: of one that is linked to the hub and one that isn't, and of two
+    that `still` has.  Their differences from the hub must overlap."""
+    share = f"{100 - percent}D / {100 + percent}"
+    stars = stars.withColumn("most", F.expr(f"cast(floor({share} * (na + na * 100 div {percent})) as bigint)"))
+    labels = lambda name: joined.select(F.col("id").alias(name), F.col("component").alias(f"c{name}"))
+    placed = stars.join(few(labels("a")), "a", "left").join(few(labels("b")), "b", "left").withColumns({"ca": F.coalesce("ca", "a"), "cb": F.coalesce("cb", "b")})
+    placed = placed.join(few(still.withColumn("open", F.lit(True))), ["a", "b"], "left").withColumn("open", F.coalesce("open", F.lit(False)))
+    reach = written(placed.where("linked").groupBy("b").agg(F.max("size").alias("reach"), F.max("na").alias("widest")))
+    # How far from the hub a member may be that links to one of those linked to it.
+    close = F.expr(f"ca <> cb and size - reach <= {share} * (na + widest)")
+    judged = placed.join(few(reach), "b", "left").withColumn("close", ~F.col("linked") & F.coalesce(close, F.lit(False)))
+    wanted = written(judged.where("close or open").groupBy("b").agg(F.count("*").alias("others")))
+    if not wanted.count():
+        return None
+    members = judged.where("linked or close or open").join(few(wanted), "b")
+    # Prefixes, from the least overlap that a linked pair of members must have.
+    tight = F.expr(f"floor((size + {share} * (nb - na)) / 2) + 1")
+    needs = F.greatest(F.lit(1), F.expr("size - floor(most / 2)"), F.when(F.col("linked"), tight).otherwise(F.lit(1)))
+    members = members.withColumns({"small": F.greatest(F.col("size") - needs + 1, F.lit(0)).cast("int"), "large": F.least("size", F.expr("most + 1")).cast("int")})
+    # What many members have beyond the hub, by a sample of large groups, comes
+    # last; any order that a hub's members share loses nothing.
+    members = written(members.select("a", "b", "ca", "na", "size", "linked", "open", "close", "small", "large", "gained", "lost"))
+    counts = written(members.groupBy("b").agg(F.count("*").alias("members")))
+    drawn = members.join(few(counts), "b").where((F.col("members") > SAMPLE) & (F.pmod(F.xxhash64("a", "b"), F.greatest(F.floor(F.col("members") / SAMPLE), F.lit(1))) == 0))
+    each = drawn.select("b", F.explode(F.concat("gained", "lost")).alias("x"))
+    common = written(each.groupBy("b", "x").count().where(F.col("count") > SAMPLE / 12).groupBy("b").agg(F.collect_list("x").alias("common")))
+    known = members.join(few(common), "b", "left").withColumn("common", F.coalesce("common", F.array().cast("array<bigint>")))
+    tiers = [f(F.col(c), F.col("common")) for f in (F.array_except, F.array_intersect) for c in ("gained", "lost")]
+    ordered = written(known.select("a", "b", "ca", "na", "size", "linked", "open", "close", "small", "large", F.concat(*[F.array_sort(t) for t in tiers]).alias("beyond")))
+
+    def side(prefix: str, name: str, which: str) -> DataFrame:
+        first = F.posexplode(F.slice("beyond", F.lit(1), F.col(prefix))).alias(f"{name}_at", "x")
+        return ordered.where(which).select("b", first, *[F.col(c).alias(f"{name}_{c}") for c in ("a", "ca", "na", "size")])
+
+    def meet(small: str, large: str) -> DataFrame:
+        meets = F.expr(
+            f"(s_size < l_size or (s_size = l_size and s_a < l_a)) and s_ca <> l_ca "
+            f"and {percent} * greatest(s_na, l_na) <= 100 * least(s_na, l_na) and l_size - s_size <= {share} * (s_na + l_na)"
+        )
+        met = side("small", "s", small).join(side("large", "l", large), ["b", "x"]).where(meets)
+        return met.groupBy("b", "s_a", "l_a", "s_na", "l_na", "s_size", "l_size").agg(F.count("*").alias("met"), F.max("s_at").alias("s_at"), F.max("l_at").alias("l_at"))
+
+    met = meet("linked", "close").union(meet("close", "linked")).union(meet("open", "open"))
+    # Past the last element met, no more can be shared than the shorter rest has.
+    enough = F.expr(f"met + least(s_size - s_at, l_size - l_at) - 1 >= (s_size + l_size - {share} * (s_na + l_na)) / 2")
+    more = written(met.where(enough).select("b", "s_a", "l_a", "s_na", "l_na", "s_size", "l_size"))
+    xs = lambda name: ordered.select("b", F.col("a").alias(f"{name}_a"), F.col("beyond").alias(f"{name}_x"))
+    counted = xs("s").join(few(more), ["b", "s_a"]).join(xs("l"), ["b", "l_a"])
+    # Their symmetric difference is that of their differences from the hub.
+    apart = F.col("s_size") + F.col("l_size") - 2 * F.size(F.array_intersect("s_x", "l_x"))
+    second = counted.withColumn("shared", F.expr("s_na + l_na") - apart).withColumn("shared", F.expr("shared div 2")).where(_linked("s_na", "l_na", "shared", percent))
+    out = written(second.select(F.least("s_a", "l_a").alias("a"), F.greatest("s_a", "l_a").alias("b")).distinct())
+    forget(reach, wanted, members, counts, common, ordered, more)
+    return out
+
+
+def links(df: DataFrame, percent: int = 90, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, list[DataFrame]]:
     """(documents: id, n, component of its class's least id; links between class
-    representatives: a, b), both for rows with an id."""
+    representatives: a, b; the tables that the first still reads), for rows with an
+    id."""
     kind = df.schema[id_col].dataType.simpleString()
-    base = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null")
+    base = df.select(named(id_col).alias("id"), named(text_col).alias("text")).where("id is not null")
 
     def digest(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for a, b in pieces(batch.column(1)):
             sets = sets_of(batch.column(1).slice(a, b - a), width)
             c1 = np.array([mix(s).sum(dtype=U) for s in sets], U).view(np.int64)
             c2 = np.array([mix(s ^ U(0x5851F42D4C957F2D)).sum(dtype=U) for s in sets], U).view(np.int64)
-            sigs = [signatures(s, percent).view(np.int64) for s in sets]
-            bounds = np.concatenate(([0], np.cumsum([len(x) for x in sigs])))
-            flat = np.concatenate(sigs) if sigs else np.empty(0, np.int64)
-            columns = [pa.array([len(s) for s in sets], pa.int64()), pa.array(c1), pa.array(c2), lists(pa.array(flat), bounds)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *columns], ["id", "n", "c1", "c2", "sigs"])
-
-    digests = written(map_arrow(base, digest, f"id {kind}, n bigint, c1 bigint, c2 bigint, sigs array<bigint>"))
-    classes = written(digests.where("n > 0").groupBy("c1", "c2").agg(F.min("id").alias("rep")))
-    firsts = few(written(classes.select(F.col("rep").alias("id")).distinct()))
-    rows = digests.where("n > 0").join(firsts, "id", "left_semi").select(F.explode("sigs").alias("sig"), F.col("id").alias("rep"))
-    shared = written(rows.groupBy("sig").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).where("hub <> last").select("sig", "hub"))
-    stars = written(rows.join(few(shared), "sig").where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct())
-    involved = written(stars.select("a").union(stars.select("b")).toDF("id").distinct())
+            levels = [signatures(s, percent) for s in sets]
+            parts = [[x[i] if i < len(x) else (np.empty(0, U), 0) for x in levels] for i in (0, 1)]
+            columns = [pa.array([len(s) for s in sets], pa.int64()), pa.array(c1), pa.array(c2)]
+            for part in parts:
+                bounds = np.concatenate(([0], np.cumsum([len(x) for x, _ in part])))
+                columns += [lists(pa.array(np.concatenate([x for x, _ in part]).view(np.int64)), bounds), pa.array([need for _, need in part], pa.int32())]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *columns], ["id", "n", "c1", "c2", "own", "own_need", "next", "next_need"])
+
+    digests = written(map_arrow(base, digest, f"id {kind}, n bigint, c1 bigint, c2 bigint, own array<bigint>, own_need int, next array<bigint>, next_need int"))
+    full = digests.where("n > 0")
+    classes = written(full.groupBy("c1", "c2").agg(F.min("id").alias("rep")))
+    # Copies of a set agree on c1, so they alone make no signature shared.
+    rows = full.select(F.explode(F.concat("own", "next")).alias("sig"), F.col("c1").alias("rep"))
+    shared = written(_twice(rows).select("sig"))
+    settle(df.sparkSession)
+    # A set with too few shared fragments has no partner.  First by a bit table, so
+    # that most sets leave without a shuffle, then exactly; hubs are the least of the rest.
+    bits, table = _bits(shared)
+    held = df.sparkSession.sparkContext.broadcast(table)
+
+    def promising(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        at, part, needs, found = [], [], [], []
+        for k in (0, 1):
+            column, need = batch.column(1 + 2 * k), batch.column(2 + 2 * k).to_numpy()
+            values, ends = column.values.to_numpy(), column.offsets.to_numpy()
+            slot = values.view(U) >> U(64 - bits)
+            hit = (held.value[(slot >> U(6)).astype(np.int64)] >> (slot & U(63))) & U(1) == U(1)
+            total = np.concatenate(([0], np.cumsum(hit)))
+            n = total[ends[1:]] - total[ends[:-1]]
+            for r in np.flatnonzero((n >= need) & (need > 0)).tolist():
+                a, b = ends[r], ends[r + 1]
+                at.append(r)
+                part.append(k)
+                needs.append(int(need[r]))
+                found.append(values[a:b][hit[a:b]])
+        if at:
+            bounds = np.concatenate(([0], np.cumsum([len(x) for x in found])))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(part, pa.int32()), pa.array(needs, pa.int32()), lists(pa.array(np.concatenate(found)), bounds)], ["id", "part", "need", "sigs"])
+
+    hopeful = written(map_arrow(full.select("id", "own", "own_need", "next", "next_need"), promising, f"id {kind}, part int, need int, sigs array<bigint>"))
+    narrow = written(digests.select("id", "n", "c1", "c2"))
+    forget(digests)
+    firsts = written(classes.select(F.col("rep").alias("id")).distinct())
+    heads = hopeful.join(few(firsts), "id", "left_semi").select(F.col("id").alias("rep"), "part", "need", F.explode("sigs").alias("sig"))
+    met = heads.join(few(shared), "sig", "left_semi")
+    kept = written(met.groupBy("rep", "part", "need").agg(F.collect_set("sig").alias("sigs")).where(F.size("sigs") >= F.col("need")).select("rep", F.explode("sigs").alias("sig")))
+    involved = written(kept.select(F.col("rep").alias("id")).distinct())
+    forget(shared, hopeful, firsts)
 
     def fragments(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for a, b in pieces(batch.column(1)):
@@ -153,67 +317,40 @@ def links(df: DataFrame, percent: int = 90, width: int = 3, id_col: str = "doc_i
             bounds = np.concatenate(([0], np.cumsum([len(x) for x in parts])))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids)), pa.array(ns, pa.int64()), pa.array(vs, pa.int32()), lists(pa.array(np.concatenate(parts)), bounds)], ["id", "n", "v", "tokens"])
 
-    tokens = written(map_arrow(base.join(few(involved), "id", "left_semi"), fragments, f"id {kind}, n bigint, v int, tokens array<bigint>"))
-    if tokens.count() > VERTICAL * involved.count():  # rows repeat an id
-        tokens = written(tokens.dropDuplicates(["id", "v"]))
-
-    def linked(na: str, nb: str, shared: str) -> Column:
-        return F.expr(f"100 * {shared} >= {percent} * ({na} + {nb} - {shared})")
-
-    star = _overlaps(stars, tokens).withColumn("linked", linked("na", "nb", "shared"))
-    share = f"{100 - percent}D / {100 + percent}"
-    star = star.withColumns({"size": F.expr("na + nb - 2 * shared"), "most": F.expr(f"cast(floor({share} * (na + na * 100 div {percent})) as bigint)")})
-    # Prefixes, from the least overlap that a linked pair of members must have (see prefix_bounds in the tests).
-    tight = F.expr(f"floor((size + {share} * (nb - na)) / 2) + 1")
-    needs = F.greatest(F.lit(1), F.expr("size - floor(most / 2)"), F.when(F.col("linked"), tight).otherwise(F.lit(1)))
-    star = written(star.withColumns({"small": F.greatest(F.col("size") - needs + 1, F.lit(0)).cast("int"), "large": F.least("size", F.expr("most + 1")).cast("int")}))
-
-    open_hubs = star.groupBy("b").agg(F.count("*").alias("members"), F.max((~F.col("linked")).cast("int")).alias("some")).where("members > 1 and some = 1").select("b", "members")
-    members = star.join(few(written(open_hubs)), "b")
-    # What many members have beyond the hub, by a sample of large groups, comes
-    # last; any order that a hub's members share loses nothing.
-    drawn = members.where((F.col("members") > SAMPLE) & (F.pmod(F.xxhash64("a", "b"), F.greatest(F.floor(F.col("members") / SAMPLE), F.lit(1))) == 0))
-    each = drawn.select("b", F.explode(F.concat("gained", "lost")).alias("x"))
-    common = written(each.groupBy("b", "x").count().where(F.col("count") > SAMPLE / 12).groupBy("b").agg(F.collect_list("x").alias("common")))
-    known = members.join(few(common), "b", "left").withColumn("common", F.coalesce("common", F.array().cast("array<bigint>")))
-    tiers = [f(F.col(c), F.col("common")) for f in (F.array_except, F.array_intersect) for c in ("gained", "lost")]
-    ordered = written(known.select("a", "b", "na", "size", "linked", "small", "large", F.concat(*[F.array_sort(t) for t in tiers]).alias("beyond")))
-
-    def side(prefix: str, name: str) -> DataFrame:
-        first = F.posexplode(F.slice("beyond", F.lit(1), F.col(prefix))).alias(f"{name}_at", "x")
-        return ordered.select("b", first, *[F.col(c).alias(f"{name}_{c}") for c in ("a", "na", "size", "linked")])
-
-    meets = F.expr(
-        f"(s_size < l_size or (s_size = l_size and s_a < l_a)) and not (s_linked and l_linked) "
-        f"and {percent} * greatest(s_na, l_na) <= 100 * least(s_na, l_na) and l_size - s_size <= {share} * (s_na + l_na)"
-    )
-    met = side("small", "s").join(side("large", "l"), ["b", "x"]).where(meets).groupBy("b", "s_a", "l_a", "s_na", "l_na", "s_size", "l_size").agg(F.count("*").alias("met"), F.max("s_at").alias("s_at"), F.max("l_at").alias("l_at"))
-    # Past the last element met, no more can be shared than the shorter rest has.
-    enough = F.expr(f"met + least(s_size - s_at, l_size - l_at) - 1 >= (s_size + l_size - {share} * (s_na + l_na)) / 2")
-    more = written(met.where(enough).select("b", "s_a", "l_a", "s_na", "l_na", "s_size", "l_size"))
-    xs = lambda name: ordered.select("b", F.col("a").alias(f"{name}_a"), F.col("beyond").alias(f"{name}_x"))
-    counted = xs("s").join(few(more), ["b", "s_a"]).join(xs("l"), ["b", "l_a"])
-    # Their symmetric difference is that of their differences from the hub.
-    apart = F.col("s_size") + F.col("l_size") - 2 * F.size(F.array_intersect("s_x", "l_x"))
-    second = counted.withColumn("shared", F.expr("s_na + l_na") - apart).withColumn("shared", F.expr("shared div 2")).where(linked("s_na", "l_na", "shared"))
-    second = second.select(F.least("s_a", "l_a").alias("a"), F.greatest("s_a", "l_a").alias("b"))
-    found = written(star.where("linked").select("a", "b").union(second.select("a", "b")).distinct())
-    named = classes.select("c1", "c2", "rep").join(components(found).withColumnRenamed("id", "rep"), "rep", "left")
-    named = named.select("c1", "c2", F.coalesce("component", "rep").alias("component"))
-    placed = digests.select("id", "n", "c1", "c2").join(named, ["c1", "c2"], "left")
-    return placed.select("id", "n", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component")), found
+    texts = base.join(few(involved), "id", "left_semi")
+    tokens = written(map_arrow(texts, fragments, f"id {kind}, n bigint, v int, tokens array<bigint>"))
+    if tokens.count() > VERTICAL * involved.count():  # rows repeat an id: the least text stands for it
+        forget(tokens)
+        tokens = written(map_arrow(texts.groupBy("id").agg(F.min("text").alias("text")), fragments, f"id {kind}, n bigint, v int, tokens array<bigint>"))
+    stars, still = _stars(kept, tokens, percent)
+    found = written(stars.where("linked").select("a", "b").distinct())
+    joined = components(found)
+    more = _across(stars, still, joined, percent)
+    if more:
+        found = written(found.union(more).distinct())
+        joined = components(found)
+    forget(involved, tokens, kept)
+    whole = classes.select("c1", "c2", "rep").join(joined.withColumnRenamed("id", "rep"), "rep", "left")
+    whole = written(whole.select("c1", "c2", F.coalesce("component", "rep").alias("component")))
+    forget(classes)
+    placed = salted(narrow.where("n > 0"), whole, ["c1", "c2"], "left", hot_keys(narrow.where("n > 0"), ["c1", "c2"])).select("id", "n", "component")
+    placed = placed.union(narrow.where("n = 0").select("id", "n", F.col("id").alias("component")))
+    return placed, found, [narrow, whole]
 
 
 def keep_first(df: DataFrame, percent: int = 90, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of df but for those whose component has a smaller id."""
-    found, _ = links(df, percent, width, id_col, text_col)
-    gone = written(found.where("component < id").select(F.col("id").alias(id_col)).distinct())
-    return df.join(few(gone), id_col, "left_anti")
+    found, pairs, tables = links(df, percent, width, id_col, text_col)
+    gone = written(found.where("component < id").select(F.col("id").alias("gone")).distinct())
+    forget(pairs, *tables)
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    return plain.join(few(gone), F.col(f"c{df.columns.index(id_col)}") == F.col("gone"), "left_anti").toDF(*df.columns)
 
 
 def join(df: DataFrame, percent: int = 90, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of df: (id_col, n_shingles, component_id)."""
-    found, _ = links(df, percent, width, id_col, text_col)
+    found, pairs, _ = links(df, percent, width, id_col, text_col)
+    forget(pairs)
     out = found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
     kind = df.schema[id_col].dataType.simpleString()
 
@@ -222,5 +359,5 @@ def join(df: DataFrame, percent: int = 90, width: int = 3, id_col: str = "doc_id
             n = [len(s) for s in sets_of(batch.column(1).slice(a, b - a), width)]
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n, pa.int64()), batch.column(0).slice(a, b - a)], [id_col, "n_shingles", "component_id"])
 
-    nameless = df.where(F.col(id_col).isNull()).select(id_col, text_col)
+    nameless = df.where(named(id_col).isNull()).select(named(id_col).alias("id"), named(text_col).alias("text"))
     return out.union(map_arrow(nameless, alone, f"`{id_col}` {kind}, n_shingles bigint, component_id {kind}"))

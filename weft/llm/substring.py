@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.common import lists, map_arrow, written
+from weft.llm.common import lists, map_arrow, named, written
 from weft.llm.words import Words, cut, pieces
 
 WIDTH, GRAM = 50, 12
@@ -74,7 +74,8 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     kept has the words that stay, joined by a space; removed has the maximal
     intervals [first word, end) taken out."""
     kind = df.schema[id_col].dataType.simpleString()
-    base = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    whole = df.select(named(id_col).alias("id"), named(text_col).alias("text"))
+    base = whole.where("id is not null")
 
     def key_lists(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for a, b in pieces(batch.column(1)):
@@ -83,8 +84,8 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             flat = np.concatenate(own) if own else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists(pa.array(flat), np.concatenate(([0], np.cumsum([len(x) for x in own]))))], ["id", "keys"])
 
-    firsts = base.where("id is not null").groupBy(F.sha2(F.coalesce("text", F.lit("")), 256)).agg(F.min("id").alias("id")).select("id").distinct()
-    keys = written(map_arrow(base.where("id is not null"), key_lists, f"id {kind}, keys array<bigint>"))
+    firsts = base.groupBy(F.sha2(F.coalesce("text", F.lit("")), 256)).agg(F.min("id").alias("id")).select("id").distinct()
+    keys = written(map_arrow(base, key_lists, f"id {kind}, keys array<bigint>"))
     rows = keys.join(firsts, "id", "left_semi").select("id", F.explode("keys").alias("key"))
     shared = rows.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b").select("key")
     hot = written(rows.join(shared, "key").groupBy("id").agg(F.collect_set("key").alias("hot")))
@@ -132,6 +133,8 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 [id_col, "n_words", "n_removed", "kept", "removed"],
             )
 
-    whole = dealt.join(exempt, "id", "left").join(firsts.withColumn("is_first", F.lit(True)), "id", "left")
+    judged = dealt.join(exempt, "id", "left").join(firsts.withColumn("is_first", F.lit(True)), "id", "left").select("id", "text", "hot", "exempt", "is_first")
+    # Rows without id go round the joins: as a key, null would be a hot one.
+    free = whole.where("id is null").select("id", "text", *[F.lit(None).cast(judged.schema[c].dataType).alias(c) for c in ("hot", "exempt", "is_first")])
     schema = f"`{id_col}` {kind}, n_words bigint, n_removed bigint, kept string, removed array<struct<first: bigint, end: bigint>>"
-    return map_arrow(whole.select("id", "text", "hot", "exempt", "is_first"), removed, schema)
+    return map_arrow(judged.union(free), removed, schema)
