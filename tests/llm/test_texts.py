@@ -208,7 +208,7 @@ def naive_tree(texts):
 
     first = states(twos, lambda c: ones[c[0]], lambda c, w: root(w))
     one = lambda p, w: mixed(first[p,], w, root(w)) if (p,) in first else root(w)
-    kept = {e: n for e, n in threes.items() if (e[1],) in first}
+    kept = {e: n for e, n in threes.items() if (e[1],) in first and min(twos[e[:2]], twos[e[1:]]) >= suffix_tree.EXTEND}
     second = states(kept, lambda c: twos[c], lambda c, w: one(c[1], w))
 
     def probability(before, w):
@@ -329,21 +329,24 @@ def test_toxicity_is_the_same_for_any_partitioning(spark, docs):
     models, scores = [], []
     for n in (1, 3, 8):
         df = docs(rows).repartition(n)
-        models.append(toxicity.learn(df, labels.repartition(n)))
+        models.append(toxicity.learn(df, labels.repartition(n), prior=10.0))
         scores.append({r["doc_id"]: r["score"] for r in toxicity.score(df, models[-1]).collect()})
     assert models[0].lexicon and models[0] == models[1] == models[2] and scores[0] == scores[1] == scores[2]
 
 
-def naive_toxicity(rows, labels, half, prior):
+def naive_toxicity(rows, labels, key, half, prior):
     """Operator 2 over, in plain lists: scores by text."""
-    marks = {}
+    marks, texts = {}, {}
     for i, y in labels:
         if i is not None and y is not None:
-            marks[i] = max(y, marks.get(i, 0))
-    texts = {}
+            marks.setdefault(i, []).append(y)
     for i, t in rows:
         if i in marks:
-            texts[t] = max(marks[i], texts.get(t, 0))
+            texts.setdefault(t, []).append(int(2 * sum(marks[i]) >= len(marks[i])))
+    groups = {}
+    for t, ys in texts.items():
+        groups.setdefault(key[t], []).append((t or "", t, int(2 * sum(ys) >= len(ys))))
+    texts = {min(g)[1]: int(2 * sum(y for *_, y in g) >= len(g)) for g in groups.values()}
     cut = lambda t: re.findall(r"\w+", (t or "").lower())
     forms = lambda w: [w] + [w[:4] + "*"] * (len(w) > 4)
     seen = {0: Counter(), 1: Counter()}
@@ -357,7 +360,7 @@ def naive_toxicity(rows, labels, half, prior):
         y1, y0 = seen[1][token], seen[0][token]
         a = prior * (y1 + y0) / (n[1] + n[0])
         d = math.log(((y1 + a) / (n[1] + prior - y1 - a + 1)) / ((y0 + a) / (n[0] + prior - y0 - a + 1)))
-        if y1 + y0 >= 5 and abs(d) > 3 * math.sqrt(1 / (y1 + a) + 1 / (y0 + a)):
+        if y1 + y0 >= 5 and abs(d) > max(math.log(2), 3 * math.sqrt(1 / (y1 + a) + 1 / (y0 + a))):
             lexicon[token] = d
 
     def segments(text):
@@ -370,6 +373,9 @@ def naive_toxicity(rows, labels, half, prior):
         return split(0, len(s))
 
     clean = [t for t, y in texts.items() if half[t] == 1 and y == 0]
+    crowd = lambda t: math.fsum(s for w in cut(t) if (s := max((lexicon[f] for f in forms(w) if f in lexicon), default=-1)) > 0) / max(1, len(cut(t)))
+    most = sorted(map(crowd, clean))[math.ceil(0.95 * len(clean)) - 1]
+    clean = [t for t in clean if crowd(t) <= most]
     words = [w for t in clean for w in cut(t)]
     drawn = Counter(max((lexicon[f] for f in forms(w) if f in lexicon), default=None) for w in words)
     total, cost = len(words), drawn.pop(None, 0)
@@ -381,7 +387,7 @@ def naive_toxicity(rows, labels, half, prior):
         low, high = (mid, high) if sum(q * math.exp(mid * s) for q, s in p) < 1 else (low, mid)
     least = min(s for s in lexicon.values() if s > 0)
     k = (sum(s >= least for t in clean for s in segments(t)) + 0.5) / (total * math.exp(-low * least))
-    fact = {t: sum(max(0.0, low * s - math.log(k * max(len(cut(t)), 1))) for s in segments(t)) for t in {t for _, t in rows}}
+    fact = {t: math.log1p(sum(max(0.0, low * s - math.log(k * max(len(cut(t)), 1))) for s in segments(t))) for t in {t for _, t in rows}}
     points = [(fact[t], y) for t, y in texts.items() if half[t] == 1]
     bias = slope = 0.0
     for _ in range(20_000):  # plain ascent, instead of Newton's steps
@@ -405,8 +411,12 @@ def test_toxicity_by_brute_force(spark, docs):
     rows = [*enumerate(texts), (900, None), (901, ""), (3, texts[8])]
     labels = [(i, int(i % 3 == 0) if rng.random() < 0.93 else 1 - int(i % 3 == 0)) for i in range(650)]
     df = docs(rows)
-    half = {r["text"]: r["h"] for r in df.select("text", toxicity.half_of(F.col("text")).alias("h")).collect()}
-    want = naive_toxicity(rows, labels, half, 20.0)
+    import pyarrow as pa
+
+    distinct = list({t for _, t in rows})
+    key = dict(zip(distinct, toxicity.sketch(pa.array(distinct, pa.string())).tolist(), strict=True))
+    by_key = {r["k"]: r["h"] for r in spark.createDataFrame([(k,) for k in key.values()], "k long").select("k", toxicity.half_of(F.col("k")).alias("h")).collect()}
+    want = naive_toxicity(rows, labels, key, {t: by_key[k] for t, k in key.items()}, 20.0)
     model = toxicity.learn(df, spark.createDataFrame(labels, "doc_id long, toxic int"), prior=20.0)
     got = toxicity.score(df, model).collect()
     texts_of = {}

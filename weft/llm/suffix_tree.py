@@ -19,7 +19,8 @@ the back-off weight of the state it becomes).  So scoring is a count of keys by
 document and a join with the table of terms:
 
 1. Words and pairs are counted in vectorised form, pre-summed in each task.
-2. Triples are counted where both their pairs are known (first by a bit table).
+2. Triples are counted where both their pairs occur EXTEND times (first by a bit
+   table): a longer context grows only out of a shorter one that is not rare.
 3. Terms of words, pairs and triples are one table, as large as the tree.  Those
    that make up at least SHARE of the corpus (1 / SHARE a kind at most) go to the
    scoring tasks; the rest are joined by key, after a bit table (32 MB at most)
@@ -44,10 +45,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.common import few, forget, hot_keys, lists, map_arrow, named, release, salted, written
+from weft.llm.common import few, forget, hot_keys, lists, map_arrow, named, release, salted, settle, written
 from weft.llm.words import U, cut, mix, pieces
 
 LEAST, DISCOUNT, SHARE = 2, 0.75, 1e-6
+#: Occurrences of both pairs of a triple that is counted.
+EXTEND = 4
 #: The end of a text, among the hashes of words.
 END = U(0x0E0F)
 #: What stands for the second word of a key that has one word, or one pair.
@@ -205,25 +208,30 @@ def _terms(events: DataFrame, states: DataFrame, keys: list[str]) -> DataFrame:
 def grow(train: DataFrame) -> tuple[DataFrame, int, int]:
     """(the tree as terms: a, b, n, base, term; words of the corpus; distinct ones).
     base is log10(n + 1) of a word, null of others."""
-    counts = written(count(train))
+    counts = written(count(train).where(f"kind = 0 or n >= {LEAST}"))
+    settle(train.sparkSession)
     facts = counts.where("kind = 0").agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     total, distinct = facts["n"] or 0, facts["v"]
     naming, unknown = math.log(distinct + 1), math.log(total + distinct + 1)
     words = counts.where("kind = 0").select("a", "n", F.shiftrightunsigned("a", 32).alias("code"))
     codes = written(words.groupBy("code").agg(F.sum("n").alias("c")))
     # Pairs, with the count of their context and the root's probability of the word.
-    pairs = written(counts.where(f"kind = 1 and n >= {LEAST}").select("a", F.lit(PAIR).cast("bigint").alias("b"), "n", F.shiftrightunsigned("a", 32).alias("before"), F.col("a").bitwiseAND(LOW).alias("word")))
+    pairs = written(counts.where("kind = 1").select("a", F.lit(PAIR).cast("bigint").alias("b"), "n", F.shiftrightunsigned("a", 32).alias("before"), F.col("a").bitwiseAND(LOW).alias("word")))
     root = codes.select(F.col("code").alias("word"), (F.ln(F.col("c") + 1) - F.lit(unknown)).alias("ln_before"))
     whole = codes.select(F.col("code").alias("before"), F.col("c").alias("whole"))
     followed = salted(pairs, root, ["word"], "inner", hot_keys(pairs, ["word"]))
     events = written(salted(followed, whole, ["before"], "inner", hot_keys(pairs, ["before"])).select("a", "before", "n", "whole", "ln_before"))
     states = written(_states(events, ["before"], naming))
     own = written(_terms(events, states, ["before"]).select("a", "n", "ln_own", "term"))
+    forget(events)
     # Triples: the pair before is the context, the last pair the suffix's event.
-    counted = written(triples(train, pairs).where(f"n >= {LEAST}").withColumn("last", F.shiftleft(F.col("a").bitwiseAND(LOW), 32).bitwiseOR(F.col("b"))))
-    suffix = own.select(F.col("a").alias("last"), F.col("ln_own").alias("ln_before"))
+    often = written(pairs.where(F.col("n") >= EXTEND).select("a", "b", "n"))
+    counted = written(triples(train, often).where(f"n >= {LEAST}").withColumn("last", F.shiftleft(F.col("a").bitwiseAND(LOW), 32).bitwiseOR(F.col("b"))))
+    settle(train.sparkSession)
+    suffix = own.where(F.col("n") >= EXTEND).select(F.col("a").alias("last"), F.col("ln_own").alias("ln_before"))
     known = salted(counted, suffix, ["last"], "inner", hot_keys(counted, ["last"]))
-    longer = written(salted(known, pairs.select("a", F.col("n").alias("whole")), ["a"], "inner", hot_keys(counted, ["a"])).select("a", "b", "n", "whole", "ln_before"))
+    longer = written(salted(known, often.select("a", F.col("n").alias("whole")), ["a"], "inner", hot_keys(counted, ["a"])).select("a", "b", "n", "whole", "ln_before"))
+    forget(counted)
     deep = written(_states(longer, ["a"], naming))
     last = _terms(longer, deep, ["a"]).select("a", "b", "n", F.lit(None).cast("double").alias("base"), "term")
     # What a word, or a pair, adds as the context that it becomes.
@@ -233,7 +241,7 @@ def grow(train: DataFrame) -> tuple[DataFrame, int, int]:
     second = own.select("a", "n", "term").union(deep.join(pairs.select("a", "n"), "a").select("a", "n", log10("freed").alias("term")))
     second = second.groupBy("a").agg(F.max("n").alias("n"), F.sum("term").alias("term")).select("a", F.lit(PAIR).cast("bigint").alias("b"), "n", F.lit(None).cast("double").alias("base"), "term")
     tree = written(first.union(second).union(last))
-    forget(counts, codes, pairs, events, states, own, counted, longer, deep)
+    forget(counts, codes, pairs, often, states, own, longer, deep)
     return tree, total, distinct
 
 
