@@ -193,7 +193,7 @@ def naive_tree(texts):
     def states(events, whole, before):
         by = {}
         for e, n in events.items():
-            if n >= 2:
+            if n >= suffix_tree.LEAST:
                 by.setdefault(e[:-1], {})[e[-1]] = n
         out = {}
         for context, own in by.items():
@@ -234,8 +234,8 @@ def test_language_model(spark, docs):
     assert len(first) > 3 and len(second) > 3
     for context in [*first, *second]:
         assert sum(probability(context, w) for w in ones) + probability(context, "unheard") == pytest.approx(1)
-    for share in (suffix_tree.SHARE, 1.0):  # all terms at hand, or all joined
-        out = suffix_tree.score(df, train, share=share).collect()
+    for top in (suffix_tree.TOP, 20, 0):  # all terms at hand, some, or all joined
+        out = suffix_tree.score(df, train, top=top).collect()
         assert len(out) == len(rows)
         for r in out:
             tokens = [*WORD.findall(fold(texts[r["doc_id"]])), "\0end"]
@@ -253,7 +253,7 @@ def test_language_model_grows_with_the_corpus(spark, docs):
     lines = [" ".join(rng.choice(words) for _ in range(12)) for _ in range(200)]
     size = []
     for n in (50, 200):
-        tree, *_ = suffix_tree.grow(docs([(i, t) for i, t in enumerate(lines[:n] * 2)]).select("text"))
+        tree, *_ = suffix_tree.grow(docs([(i, t) for i, t in enumerate(lines[:n] * 3)]).select("text"))
         size.append(tree.where("base is null").count())
     assert size[1] > 3 * size[0] > 0
 

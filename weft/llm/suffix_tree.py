@@ -21,10 +21,9 @@ document and a join with the table of terms:
 1. Words and pairs are counted in vectorised form, pre-summed in each task.
 2. Triples are counted where both their pairs occur EXTEND times (first by a bit
    table): a longer context grows only out of a shorter one that is not rare.
-3. Terms of words, pairs and triples are one table, as large as the tree.  Those
-   that make up at least SHARE of the corpus (1 / SHARE a kind at most) go to the
-   scoring tasks; the rest are joined by key, after a bit table (32 MB at most)
-   has dropped what isn't in the tree.
+3. Terms of words, pairs and triples are one table, as large as the tree.  The TOP
+   most frequent go to the scoring tasks; the rest are joined by key, after a bit
+   table (32 MB at most) has dropped what isn't in the tree.
 
 Words are known by 64-bit hashes in the base score, and by 32 bits of them in the
 tree, where two words that share them count as one symbol.
@@ -42,13 +41,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weft.llm.common import few, forget, hot_keys, lists, map_arrow, named, release, salted, settle, written
 from weft.llm.words import U, cut, mix, pieces
 
-LEAST, DISCOUNT, SHARE = 2, 0.75, 1e-6
+LEAST, DISCOUNT = 3, 0.75
+#: Terms that go to every scoring task at most (some 48 MB): the most frequent.
+TOP = 2_000_000
 #: Occurrences of both pairs of a triple that is counted.
 EXTEND = 4
 #: The end of a text, among the hashes of words.
@@ -271,13 +272,15 @@ class Known:
         return out
 
 
-def score(df: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", share: float = SHARE) -> DataFrame:
+def score(df: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", top: int = TOP) -> DataFrame:
     """One row per row of df: (id_col, n_tokens, n_known, train_tokens,
     base_score, score); train says which rows may be learnt from."""
     kind = df.schema[id_col].dataType.simpleString()
     tree, total, distinct = grow(df.where(train).select(named(text_col).alias("text")))
     unknown = math.log10(total + distinct + 1)
-    often = tree.where(F.col("n") >= max(2, share * total)).select("a", "b", F.coalesce("base", F.lit(0.0)).alias("base"), "term").toArrow()
+    ranked = tree.groupBy("n").count().withColumn("up_to", F.sum("count").over(Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, 0)))
+    least = ranked.where(F.col("up_to") <= top).agg(F.min("n")).first()[0]
+    often = tree.where(F.lit(False) if least is None else F.col("n") >= least).select("a", "b", F.coalesce("base", F.lit(0.0)).alias("base"), "term").toArrow()
     columns = {c: often[c].to_numpy() for c in often.column_names}
     held = df.sparkSession.sparkContext.broadcast((prints(columns["a"], columns["b"]), columns["base"], columns["term"], bit_table(tree)))
     cache: dict[int, Known] = {}
