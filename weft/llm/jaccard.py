@@ -17,9 +17,10 @@ common passages alone bring no sets together.
    rounds.
 3. Two members of a hub in different components so far may still link: one that
    is linked to the hub and one that is near it, or two that the last round left.
-   Their differences from the hub must then overlap, and that join has a prefix
-   filter (differences that many members share come last), so a large group of
-   near copies never becomes all of its pairs.  What remains is counted exactly.
+   Their differences from the hub must then overlap, in what at least two members
+   share, and that join has a prefix filter (differences that many members share
+   come last), so a large group of near copies does not become all of its pairs.
+   What remains is counted exactly.
 4. Links become connected components.
 
 No link between different components is lost: members of a hub that both link to
@@ -59,8 +60,6 @@ SPARE = 3
 MOST_BITS = 28
 #: Rounds of hubs before what is left is compared by differences.
 ROUNDS = 3
-#: Members of a large hub that its common differences are told from, about.
-SAMPLE = 24
 
 
 def levels(most: int = 1 << 40) -> np.ndarray:
@@ -203,24 +202,22 @@ def _across(stars: DataFrame, still: DataFrame, joined: DataFrame, percent: int)
     if not wanted.count():
         return None
     members = judged.where("linked or close or open").join(few(wanted), "b")
+    members = written(members.select("a", "b", "ca", "na", "nb", "size", "most", "linked", "open", "close", F.concat("gained", "lost").alias("beyond")))
+    # What only one member has beyond the hub can't overlap; the rest comes rarest
+    # first (any order that a hub's members share loses nothing).
+    each = members.select("a", "b", F.explode("beyond").alias("x"))
+    often = written(each.groupBy("b", "x").agg(F.count("*").alias("n")).where("n > 1"))
+    ranked = each.join(few(often), ["b", "x"]).groupBy("a", "b").agg(F.array_sort(F.collect_list(F.struct("n", "x"))).alias("ranked"))
+    known = members.drop("beyond").join(ranked.select("a", "b", F.col("ranked.x").alias("beyond")), ["a", "b"])
     # Prefixes, from the least overlap that a linked pair of members must have.
     tight = F.expr(f"floor((size + {share} * (nb - na)) / 2) + 1")
     needs = F.greatest(F.lit(1), F.expr("size - floor(most / 2)"), F.when(F.col("linked"), tight).otherwise(F.lit(1)))
-    members = members.withColumns({"small": F.greatest(F.col("size") - needs + 1, F.lit(0)).cast("int"), "large": F.least("size", F.expr("most + 1")).cast("int")})
-    # What many members have beyond the hub, by a sample of large groups, comes
-    # last; any order that a hub's members share loses nothing.
-    members = written(members.select("a", "b", "ca", "na", "size", "linked", "open", "close", "small", "large", "gained", "lost"))
-    counts = written(members.groupBy("b").agg(F.count("*").alias("members")))
-    drawn = members.join(few(counts), "b").where((F.col("members") > SAMPLE) & (F.pmod(F.xxhash64("a", "b"), F.greatest(F.floor(F.col("members") / SAMPLE), F.lit(1))) == 0))
-    each = drawn.select("b", F.explode(F.concat("gained", "lost")).alias("x"))
-    common = written(each.groupBy("b", "x").count().where(F.col("count") > SAMPLE / 12).groupBy("b").agg(F.collect_list("x").alias("common")))
-    known = members.join(few(common), "b", "left").withColumn("common", F.coalesce("common", F.array().cast("array<bigint>")))
-    tiers = [f(F.col(c), F.col("common")) for f in (F.array_except, F.array_intersect) for c in ("gained", "lost")]
-    ordered = written(known.select("a", "b", "ca", "na", "size", "linked", "open", "close", "small", "large", F.concat(*[F.array_sort(t) for t in tiers]).alias("beyond")))
+    known = known.withColumns({"c": F.size("beyond"), "needs": needs}).withColumns({"small": F.greatest(F.col("c") - F.col("needs") + 1, F.lit(0)).cast("int"), "large": F.greatest(F.least(F.col("c"), F.expr("c - size + most + 1")), F.lit(0)).cast("int")})
+    ordered = written(known.where("small > 0 or large > 0").select("a", "b", "ca", "na", "size", "c", "linked", "open", "close", "small", "large", "beyond"))
 
     def side(prefix: str, name: str, which: str) -> DataFrame:
         first = F.posexplode(F.slice("beyond", F.lit(1), F.col(prefix))).alias(f"{name}_at", "x")
-        return ordered.where(which).select("b", first, *[F.col(c).alias(f"{name}_{c}") for c in ("a", "ca", "na", "size")])
+        return ordered.where(which).select("b", first, *[F.col(c).alias(f"{name}_{c}") for c in ("a", "ca", "na", "size", "c")])
 
     def meet(small: str, large: str) -> DataFrame:
         meets = F.expr(
@@ -228,11 +225,11 @@ def _across(stars: DataFrame, still: DataFrame, joined: DataFrame, percent: int)
             f"and {percent} * greatest(s_na, l_na) <= 100 * least(s_na, l_na) and l_size - s_size <= {share} * (s_na + l_na)"
         )
         met = side("small", "s", small).join(side("large", "l", large), ["b", "x"]).where(meets)
-        return met.groupBy("b", "s_a", "l_a", "s_na", "l_na", "s_size", "l_size").agg(F.count("*").alias("met"), F.max("s_at").alias("s_at"), F.max("l_at").alias("l_at"))
+        return met.groupBy("b", "s_a", "l_a", "s_na", "l_na", "s_size", "l_size", "s_c", "l_c").agg(F.count("*").alias("met"), F.max("s_at").alias("s_at"), F.max("l_at").alias("l_at"))
 
     met = meet("linked", "close").union(meet("close", "linked")).union(meet("open", "open"))
     # Past the last element met, no more can be shared than the shorter rest has.
-    enough = F.expr(f"met + least(s_size - s_at, l_size - l_at) - 1 >= (s_size + l_size - {share} * (s_na + l_na)) / 2")
+    enough = F.expr(f"met + least(s_c - s_at, l_c - l_at) - 1 >= (s_size + l_size - {share} * (s_na + l_na)) / 2")
     more = written(met.where(enough).select("b", "s_a", "l_a", "s_na", "l_na", "s_size", "l_size"))
     xs = lambda name: ordered.select("b", F.col("a").alias(f"{name}_a"), F.col("beyond").alias(f"{name}_x"))
     counted = xs("s").join(few(more), ["b", "s_a"]).join(xs("l"), ["b", "l_a"])
@@ -240,7 +237,7 @@ def _across(stars: DataFrame, still: DataFrame, joined: DataFrame, percent: int)
     apart = F.col("s_size") + F.col("l_size") - 2 * F.size(F.array_intersect("s_x", "l_x"))
     second = counted.withColumn("shared", F.expr("s_na + l_na") - apart).withColumn("shared", F.expr("shared div 2")).where(_linked("s_na", "l_na", "shared", percent))
     out = written(second.select(F.least("s_a", "l_a").alias("a"), F.greatest("s_a", "l_a").alias("b")).distinct())
-    forget(reach, wanted, members, counts, common, ordered, more)
+    forget(reach, wanted, members, often, ordered, more)
     return out
 
 
