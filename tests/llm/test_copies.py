@@ -126,6 +126,39 @@ def test_links_around_a_hub(spark, docs, percent):
     assert got == classes(rows, percent)
 
 
+def test_signatures_come_in_slices(spark, docs, monkeypatch):
+    rng, sizes, twice = random.Random(3), [], jaccard._twice
+
+    def counted(rows):
+        sizes.append(rows.count())
+        return twice(rows)
+
+    monkeypatch.setattr(jaccard, "_twice", counted)
+    texts = [" ".join(f"w{rng.randrange(9000)}" for _ in range(120)) for _ in range(40)]
+    rows = [(i, texts[i % 40] + " end" * (i // 40)) for i in range(80)]
+    found = {r[0]: r[2] for r in jaccard.join(docs(rows)).collect()}
+    assert found == classes(rows, 90)
+    first = sizes[:4]
+    assert max(first) < sum(first) / 2
+
+
+def test_sets_without_enough_left_are_not_compared_further(spark, docs, monkeypatch):
+    """Each shares one passage with each of its group: too little for a link."""
+    rng, left, across = random.Random(4), [], jaccard._across
+
+    def seen(stars, still, *more):
+        left.append(still.count())
+        return across(stars, still, *more)
+
+    monkeypatch.setattr(jaccard, "_across", seen)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    passages = [[word() for _ in range(60)] for _ in range(6)]
+    rows = [(i, " ".join(w for k in rng.sample(range(6), 3) for w in [*passages[k], *(word() for _ in range(20))])) for i in range(60)]
+    found = {r[0]: r[2] for r in jaccard.join(docs(rows), percent=80).collect()}
+    assert found == classes(rows, 80)
+    assert left[0] == 0
+
+
 @pytest.mark.parametrize("percent", [90, 80])
 def test_fragments_meet(percent):
     """Any two linked sets share as many signatures as both need, at one level."""

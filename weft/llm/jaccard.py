@@ -40,6 +40,7 @@ place, so that none can clash; other columns are not read.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -60,6 +61,9 @@ SPARE = 3
 MOST_BITS = 28
 #: Rounds of hubs before what is left is compared by differences.
 ROUNDS = 3
+#: Signatures are looked for in so many slices, one after another, so that only one
+#: slice's shuffle is on disk at a time (a power of 2).
+SLICES = 4
 
 
 def levels(most: int = 1 << 40) -> np.ndarray:
@@ -128,6 +132,24 @@ def _twice(rows: DataFrame) -> DataFrame:
     return rows.groupBy("sig").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).where("hub <> last").select("sig", "hub")
 
 
+def _shared(rows: DataFrame) -> list[DataFrame]:
+    """Tables (sig) of the signatures that two sets and more of rows (sig, rep) have,
+    slice by slice."""
+    out = []
+    for k in range(SLICES):
+        slot = F.shiftrightunsigned("sig", 65 - SLICES.bit_length())
+        out.append(written(_twice(rows.where(slot == k) if SLICES > 1 else rows).select("sig")))
+        settle(rows.sparkSession)
+    return out
+
+
+def _enough(rows: DataFrame) -> DataFrame:
+    """The rows (rep, part, need, sig) of sets that have as many signatures there as
+    they share with any partner at least."""
+    sets = rows.groupBy("rep", "part", "need").agg(F.collect_set("sig").alias("sigs"))
+    return sets.where(F.size("sigs") >= F.col("need")).select("rep", "part", "need", F.explode("sigs").alias("sig"))
+
+
 def _bits(sigs: DataFrame) -> tuple[int, np.ndarray]:
     """(b, words): a table of 2**b bits, set where the first b bits of a signature
     point; eight bits a signature, 2**MOST_BITS (32 MB) at most."""
@@ -162,25 +184,26 @@ def _stars(kept: DataFrame, tokens: DataFrame, percent: int) -> tuple[DataFrame,
 
     A round pairs the sets of each signature with the least of them.  What isn't
     linked to that hub goes on to the next round, without the hub and those linked
-    to it, so that groups that only meet in a passage come apart."""
+    to it, so that groups that only meet in a passage come apart.  Two sets that link
+    and have not been told apart by a hub go on with all signatures that they share,
+    so one that goes on with fewer than it needs leaves, too."""
     active, known, tables = kept, None, []
     for _ in range(ROUNDS):
         hubs = written(_twice(active))
-        rows = written(active.join(few(hubs), "sig").where("rep <> hub").select("sig", F.col("rep").alias("a"), F.col("hub").alias("b")))
+        rows = written(active.join(few(hubs), "sig").where("rep <> hub").select("sig", "part", "need", F.col("rep").alias("a"), F.col("hub").alias("b")))
         pairs = rows.select("a", "b").distinct()
         pairs = written(pairs if known is None else pairs.join(known, ["a", "b"], "left_anti"))
         star = written(_overlaps(pairs, tokens).withColumn("linked", _linked("na", "nb", "shared", percent)).withColumn("size", F.expr("na + nb - 2 * shared")))
         known = star if known is None else known.union(star)
-        apart = rows.join(known.where("linked").select("a", "b"), ["a", "b"], "left_anti")
-        rest = written(apart.select("sig", "a", "b"))
-        active = rest.select(F.col("a").alias("rep"), "sig")
-        forget(hubs, rows, pairs)
-        tables.append(rest)
-        if not rest.count():
+        apart = written(rows.join(known.where("linked").select("a", "b"), ["a", "b"], "left_anti").select("sig", "part", "need", "a", "b"))
+        again = written(_twice(apart.select("sig", F.col("a").alias("rep"))).select("sig"))
+        active = written(_enough(apart.join(few(again), "sig", "left_semi").withColumnRenamed("a", "rep")))
+        forget(hubs, rows, pairs, again, *tables)
+        tables = [apart, active]
+        if not active.count():
             break
-    if rest.count():
-        rest = rest.join(few(written(_twice(active).select("sig"))), "sig", "left_semi")
-    still = written(rest.select("a", "b").distinct())
+    last = active.select("sig", F.col("rep").alias("a"))
+    still = written(apart.join(few(last), ["sig", "a"], "left_semi").select("a", "b").distinct())
     forget(*tables)
     return known, still
 
@@ -266,8 +289,8 @@ def links(df: DataFrame, percent: int = 90, width: int = 3, id_col: str = "doc_i
     classes = written(full.groupBy("c1", "c2").agg(F.min("id").alias("rep")))
     # Copies of a set agree on c1, so they alone make no signature shared.
     rows = full.select(F.explode(F.concat("own", "next")).alias("sig"), F.col("c1").alias("rep"))
-    shared = written(_twice(rows).select("sig"))
-    settle(df.sparkSession)
+    slices = _shared(rows)
+    shared = functools.reduce(DataFrame.union, slices)
     # A set with too few shared fragments has no partner.  First by a bit table, so
     # that most sets leave without a shuffle, then exactly; hubs are the least of the rest.
     bits, table = _bits(shared)
@@ -298,9 +321,9 @@ def links(df: DataFrame, percent: int = 90, width: int = 3, id_col: str = "doc_i
     firsts = written(classes.select(F.col("rep").alias("id")).distinct())
     heads = hopeful.join(few(firsts), "id", "left_semi").select(F.col("id").alias("rep"), "part", "need", F.explode("sigs").alias("sig"))
     met = heads.join(few(shared), "sig", "left_semi")
-    kept = written(met.groupBy("rep", "part", "need").agg(F.collect_set("sig").alias("sigs")).where(F.size("sigs") >= F.col("need")).select("rep", F.explode("sigs").alias("sig")))
+    kept = written(_enough(met))
     involved = written(kept.select(F.col("rep").alias("id")).distinct())
-    forget(shared, hopeful, firsts)
+    forget(hopeful, firsts, *slices)
 
     def fragments(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for a, b in pieces(batch.column(1)):
