@@ -262,3 +262,18 @@ def test_containment_and_priority(spark):
     for found, want in cases:
         df = spark.createDataFrame([(found,)], f"f {kind}")
         assert df.select(licenses.resolved(F.col("f")).alias("r")).first()["r"]["labels"] == want
+
+
+def test_words_are_counted_as_matches_are(spark):
+    texts = ["", " ", "a", " a", "a ", "\n\na-b\t", "é ü_x\x00y", "..", "x" * 50, "日本 1,2 ", "\U0001f600 ~ z"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    found = {r.text: r.n for r in df.select("text", licenses.n_words(F.col("text")).alias("n")).collect()}
+    assert found == {t: len(re.findall(licenses.WORD, t)) for t in texts}
+
+
+def test_rules_stand_behind_gate_and_keyword():
+    """Each pair of gate and keyword is looked for once, not once a rule."""
+    sql = licenses._rules()
+    pairs = {(r.gate, r.keyword) for r in licenses.rules()}
+    assert sql.count("'gate'") == sql.count("'keyword'") == len(pairs) < len(licenses.rules())
+    assert sql.count("'pattern'") == len(licenses.rules())

@@ -31,16 +31,30 @@ BASE = rf"(?i)(?:(?<=[{SEP}])|\A)(?:mit|apache|general[{SEP}]+public)[{SEP}]+lic
 BASE_LABELS = {"mit": "mit", "apa": "apache", "gen": "gpl"}
 
 
+def n_words(text: Column) -> Column:
+    """How many words text has: the pieces between separators, without the empty ones
+    at its ends (a match object for each word would cost far more)."""
+    edge = lambda c: c.rlike(f"[{SEP}]").cast("int")
+    first = F.when(text == "", 1).otherwise(edge(F.substring(text, 1, 1)))
+    return (F.size(F.split(text, f"[{SEP}]+", -1)) - first - edge(F.substring(text, -1, 1))).cast("bigint")
+
+
 @functools.lru_cache(maxsize=1)
 def _rules() -> str:
-    """The rules as one literal array, in SQL."""
+    """The rules as one literal array, in SQL: those that share gate and keyword
+    together, so that each such pair is looked for once."""
     quote = lambda s: "r'" + s.replace("'", "\\x27") + "'"
-    return "array(" + ", ".join(f"named_struct('label', '{r.label}', 'keyword', '{r.keyword}', 'pattern', {quote(r.pattern)}, 'priority', {r.priority}, 'confidence', {r.confidence}D)" for r in rules()) + ")"
+    array = lambda items: "array(" + ", ".join(items) + ")"
+    groups: dict[tuple[str, str], list[str]] = {}
+    for r in rules():
+        groups.setdefault((r.gate, r.keyword), []).append(f"named_struct('label', '{r.label}', 'pattern', {quote(r.pattern)}, 'priority', {r.priority}, 'confidence', {r.confidence}D)")
+    return array(f"named_struct('gate', '{gate}', 'keyword', '{keyword}', 'rules', {array(own)})" for (gate, keyword), own in groups.items())
 
 
 def detections(low: Column) -> Column:
     """All rule matches in lower-case text, by start, longest first."""
-    active = F.filter(F.expr(_rules()), lambda r: F.contains(low, r["keyword"]))
+    groups = F.filter(F.expr(_rules()), lambda g: F.contains(low, g["gate"]) & F.contains(low, g["keyword"]))
+    active = F.flatten(F.transform(groups, lambda g: g["rules"]))
     found = F.transform(active, lambda r: F.transform(spans(low, r["pattern"]), lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("minus_end"), r["priority"].alias("priority"), r["label"].alias("label"), r["confidence"].alias("confidence"))))
     return F.array_sort(F.flatten(found))
 
@@ -73,7 +87,7 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     text = F.coalesce(named(text_col), F.lit(""))
     base = df.select(named(id_col).alias("id"), text.alias("text"), F.lower(text).alias("low"))
     gate = functools.reduce(lambda a, b: a | b, [F.contains("low", F.lit(k)) for k in GATE])
-    gated = base.select("id", "text", F.regexp_count("text", F.lit(WORD)).cast("bigint").alias("n_words"), F.when(gate, F.col("low")).alias("low"))
+    gated = base.select("id", "text", n_words(F.col("text")).alias("n_words"), F.when(gate, F.col("low")).alias("low"))
     has = F.contains("low", F.lit("license"))
     found = gated.select(
         "id",
