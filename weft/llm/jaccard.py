@@ -14,7 +14,7 @@ common passages alone bring no sets together.
    shared fragment, their hub (one pair per class and hub).  Partial overlaps are counted for each of eight
    vertical fragments apart and summed per pair.
    Those that don't link to it are paired with the least of themselves, in a few
-   rounds.
+   rounds, as long as they share enough fragments with the others that are left.
 3. Two members of a hub in different components so far may still link: one that
    is linked to the hub and one that is near it, or two that the last round left.
    Their differences from the hub must then overlap, in what at least two members
