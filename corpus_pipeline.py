@@ -1,7 +1,8 @@
 """From raw documents to token ids: five stages over whole tables.
 
 Each stage takes all rows that the one before it kept; an empty table passes
-through all of them.  Columns beyond those of documents are carried along.
+through all of them.  Columns beyond those of documents are carried along.  A stage
+with Python workers that follows another first frees the executors' heaps.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.llm import bpe, decontaminate, jaccard, pii, toxicity
-from weft.llm.common import documents, forget, named, written
+from weft.llm.common import documents, forget, named, relieve, written
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -30,6 +31,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Of each group linked by Jaccard similarity of at least 0.8 on five words,
     the least id stays.  Null and empty texts and rows without id stay; rows that
     share an id stay or go together; other columns stay as they are."""
+    relieve(spark)
     return jaccard.keep_first(docs, percent=80, width=5)
 
 
@@ -37,6 +39,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go.  Null and empty texts stay; rows
     that share an id, null too, go together; other columns stay as they are; an
     empty benchmark takes nothing."""
+    relieve(spark)
     return decontaminate.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
@@ -52,6 +55,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids, and the text that they decode to, beside the other columns (but
     for those named ids or n_tokens, which give way).  Every row stays; null texts
     become empty ones without ids."""
+    relieve(spark)
     extra = tuple(c for c in docs.columns if c not in ("doc_id", "text", "ids", "n_tokens"))
     out = bpe.round_trip(docs, RANKS, public_tokenizers.PATTERN, extra=extra)
     return out.select("doc_id", *map(named, extra), F.size("ids").cast("long").alias("n_tokens"), "ids", F.col("decoded").cast("string").alias("text"))

@@ -400,3 +400,18 @@ def test_pipeline_edges(spark, tmp_path):
         if out:
             assert next(r["text"] for r in out if r["doc_id"] == 5) == "write to [email]"
             assert {r["a.b"] for r in out} == {"dot"} and next(r["n_tokens"] for r in out if r["doc_id"] == 3) == 0
+
+
+def test_stages_free_the_heap_before_python_workers(spark, docs, tmp_path):
+    """What a stage leaves in the executors' heaps is collected before the next
+    stage's Python workers need the memory."""
+    import corpus_pipeline
+
+    def collections():
+        return sum(b.getCollectionCount() for b in beans if "Young" not in b.getName())
+
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    before = collections()
+    out = corpus_pipeline.encode(spark, docs([(1, "some text")]), str(tmp_path))
+    assert collections() > before
+    assert [r["text"] for r in out.collect()] == ["some text"]

@@ -72,6 +72,15 @@ def settle(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def relieve(spark: SparkSession) -> None:
+    """Has the executors' JVMs collect their garbage and give freed heap back to
+    the system: what a stage with large shuffles leaves of a heap is missing beside
+    it when the next stage's Python workers start.  One small task a core, with a
+    full collection each; the scheduler deals them over the executors."""
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.java_method(F.lit("java.lang.System"), F.lit("gc"))).collect()
+
+
 def release() -> None:
     """Gives freed memory back to the system: Python workers live on between
     tasks and stages, and what they keep adds up beside the JVM's memory."""
