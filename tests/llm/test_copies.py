@@ -341,6 +341,17 @@ def test_shards_keep_copies_together(spark, docs):
     assert all(len(s) == 1 for s in where.values())
 
 
+def test_shards_keep_a_large_group_together(spark, docs):
+    """A cut that falls inside a group of copies goes elsewhere, and sizes stay near equal."""
+    rows = [(i, "copy " * 20 if i < 110 else "x" * (60 + i % 90) + f" {i:06}") for i in range(1200)]
+    where, sizes = defaultdict(set), Counter()
+    for r in shards.shards(docs(rows), dims(), leaves=8).collect():
+        where[r["text_crc32"]].add(r["shard"])
+        sizes[r["shard"]] += r["size"]
+    assert all(len(s) == 1 for s in where.values()) and len(sizes) == 8
+    assert max(sizes.values()) - min(sizes.values()) <= 4 * max(len(t) + 1 for _, t in rows)
+
+
 def test_shards_by_bytes(spark, docs):
     rows = [(i, "x" * (i % 50)) for i in range(500)]
     out = shards.shards(docs(rows), dims(), target_bytes=2000).collect()
