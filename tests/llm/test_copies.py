@@ -343,7 +343,7 @@ def test_shards_keep_copies_together(spark, docs):
 
 def test_shards_keep_a_large_group_together(spark, docs):
     """A cut that falls inside a group of copies goes elsewhere, and sizes stay near equal."""
-    rows = [(i, "copy " * 20 if i < 110 else "x" * (60 + i % 90) + f" {i:06}") for i in range(1200)]
+    rows = [(i, "copy " * 20 if i < 60 else "x" * ((34 if i % 3 < 2 else 98) + i % 50) + f" {i:05}") for i in range(1200)]
     where, sizes = defaultdict(set), Counter()
     for r in shards.shards(docs(rows), dims(), leaves=8).collect():
         where[r["text_crc32"]].add(r["shard"])
